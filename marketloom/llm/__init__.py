@@ -1,0 +1,4 @@
+"""Training-data operators: scoring, decontamination, deduplication, filtering, mixing and output.
+
+Nothing else in the library imports this subpackage.
+"""
