@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP6_SQL, op6_quality
+from .token_records import op5_token_records
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op6_quality": op6_quality, "op7_mixing": op7_mixing}
-SQL = {"op2_decontamination": OP2_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL}
+QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op5_token_records": op5_token_records,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
+}
+SQL = {"op2_decontamination": OP2_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}

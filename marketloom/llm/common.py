@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes that Catalyst's statistics give the plan: file sizes for a scan, an upper bound for most else."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, mb: int = 24, least: int = 1) -> int:
