@@ -7,9 +7,11 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .quality import OP6_SQL, op6_quality
 from .token_records import op5_token_records
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_token_records": op5_token_records,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
