@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut, parts, table
 
 #: Bytes of context. A gram is DEPTH + 1 bytes; the tree needs at least 2.
-DEPTH = 4
+DEPTH = 5
 #: MB of the input's files that make a block.
-BLOCK_MB = 8
+BLOCK_MB = 12
 #: Distinct grams in a bucket of the tree, about.
 BUCKET_GRAMS = 100_000
 #: Before a text and after it; no byte of UTF-8.
