@@ -7,6 +7,7 @@ from .decontamination import OP2_SQL, op2_decontamination
 from .html_text import op9_html_text
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .near_dedup import OP3_SQL, op3_near_dedup
 from .quality import OP6_SQL, op6_quality
 from .token_records import op5_token_records
 from .toxicity import op4_toxicity
@@ -14,6 +15,7 @@ from .toxicity import op4_toxicity
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_decontamination": op2_decontamination,
+    "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_records": op5_token_records,
     "op6_quality": op6_quality,
@@ -21,4 +23,4 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_text": op9_html_text,
 }
-SQL = {"op2_decontamination": OP2_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op2_decontamination": OP2_SQL, "op3_near_dedup": OP3_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
