@@ -1,5 +1,33 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: filter, deduplicate, decontaminate, mix and write documents as token records.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketloom.llm import decontamination, mixing, near_dedup, token_records, toxicity
+from marketloom.llm.common import fresh_dir, table
+
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
+    ("token_records", token_records.stage),
+]
+
+#: The grammar's fitted weights and the tokenizer have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each stage's rows written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        place = fresh_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
+    return docs

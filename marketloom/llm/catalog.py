@@ -8,6 +8,7 @@ from .html_text import op9_html_text
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import OP3_SQL, op3_near_dedup
+from .passages import op10_passages
 from .quality import OP6_SQL, op6_quality
 from .token_records import op5_token_records
 from .toxicity import op4_toxicity
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_html_text": op9_html_text,
+    "op10_passages": op10_passages,
 }
 SQL = {"op2_decontamination": OP2_SQL, "op3_near_dedup": OP3_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
