@@ -86,8 +86,9 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN) -> DataFr
     seeds = let(folded_words(F.col("text")), lambda w: F.flatten(F.array(*[seeds_of(w, x) for x in lengths])))
     found = d.select("doc_id", "text_key", F.explode(seeds).alias("seed")).join(F.broadcast(b_seeds) if small else b_seeds, "seed", "left_semi")
     # One row for each text that shares a fingerprint, however many documents or rows hold it.
-    found = found.groupBy("text_key").agg(F.collect_set("seed").alias("seeds"))
-    texts = d.join(found, "text_key").dropDuplicates(["text_key"]).withColumns({"w": bench_words(F.col("text")), "f": folded_words(F.col("text"))})
+    found = found.groupBy("text_key").agg(F.collect_set("seed").alias("seeds"), F.min("doc_id").alias("one_id")).withColumnRenamed("text_key", "one_key")
+    one = (F.col("text_key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
+    texts = d.join(found, one).select("text_key", "text", "seeds").dropDuplicates(["text_key"]).withColumns({"w": bench_words(F.col("text")), "f": folded_words(F.col("text"))})
     around = F.flatten(F.array(*[windows_at(F.col("w"), F.col("f"), F.col("seeds"), x) for x in lengths]))
     near = texts.select("text_key", F.inline(around))
     at = F.sequence(F.lit(0), F.size("w") - F.col("len"))
@@ -103,7 +104,8 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = SPAN) -> DataFr
     ivs = ivs.withColumn("run", F.sum(new.cast("int")).over(Window.partitionBy("text_key").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, 0)))
     spans = ivs.groupBy("text_key", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"))
     spans = spans.groupBy("text_key").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    out = base.join(spans.join(items, "text_key"), "text_key", "left")
+    # Cut, so that Spark can split a hot text's rows in the join.
+    out = base.join(cut(spans.join(items, "text_key")), "text_key", "left")
     return out.select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),

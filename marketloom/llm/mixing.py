@@ -18,6 +18,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Rows that one key range should hold at most, about.
 RANGE_ROWS = 20_000
+#: Sources whose budgets and cuts are broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -60,16 +62,18 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     ranges = narrow.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = cut(goal.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    goal = goal.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goal = cut(goal)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    g = goal.select(F.col("source").alias("g_source"), "rest")
+    g = per_source(goal.select(F.col("source").alias("g_source"), "rest"))
     # The first range whose end reaches the budget; its rows alone are sorted.
     ends = (
         ranges.join(g, F.col("source").eqNullSafe(F.col("g_source")))
         .filter((F.col("range_before") <= F.col("rest")) & (F.col("range_before") + F.col("range_size") >= F.col("rest")))
         .select(F.col("source").alias("e_source"), F.col("range").alias("e_range"), "range_before", "rest")
     )
+    ends = per_source(ends)
     inside = narrow.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("range") == F.col("e_range")))
     inside = inside.groupBy("source", "range", "key", "range_before", "rest").agg(F.sum("size").alias("size"))
     upto = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,6 +86,12 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     return out.select("source", "source_size", "target", "epochs", F.coalesce("found_key", after).alias("cut_key"))
 
 
+def per_source(few: DataFrame) -> DataFrame:
+    """A table of one row per source, marked for broadcast if it is small; beyond that Spark deals it as it sees fit."""
+    few = cut(few)
+    return F.broadcast(few) if few.count() <= BROADCAST_SOURCES else few
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_copies: how often the mix takes each document.
 
@@ -90,8 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     own, last. Rows with the same doc_id have the same key and stand or fall together. Empty table: no rows.
     Extra columns stay as they are; only the names above are taken.
     """
-    c = cuts(docs, weights, max_epochs, share, seed).withColumnRenamed("source", "mix_source")
-    c = c.withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target", "epochs": "mix_epochs", "cut_key": "mix_cut"})
+    c = cuts(docs, weights, max_epochs, share, seed)
+    c = per_source(c.withColumnsRenamed({"source": "mix_source", "source_size": "mix_source_size", "target": "mix_target", "epochs": "mix_epochs", "cut_key": "mix_cut"}))
     keep = [f"`{x}`" for x in docs.columns if not x.startswith("mix_")]
     d = docs.select(*keep).withColumns({"mix_key": key_of(seed), "mix_size": size_of(F.col("text"))})
     d = d.join(c, F.col("source").eqNullSafe(F.col("mix_source")), "left")

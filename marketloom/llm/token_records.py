@@ -30,8 +30,8 @@ END_ID = 1
 SHARD_MB = 24
 #: Pieces that a worker remembers; a full memory is emptied, which costs time and nothing else.
 CACHE_PIECES, CACHE_CHARS = 200_000, 40
-HEAD = struct.Struct("<QI")
-BODY = struct.Struct("<BBqI")
+HEAD, BODY = "<QI", "<BBqI"
+HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 
 
 def masked(data: bytes) -> int:
@@ -45,7 +45,7 @@ def frame(payload: bytes) -> bytes:
 
 
 def payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return BODY.pack(width, doc_id is None, doc_id or 0, len(ids)) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack(BODY, width, doc_id is None, doc_id or 0, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
 def frames(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -57,25 +57,25 @@ def frames(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def frame_at(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
-    if at + HEAD.size > len(data):
+    if at + HEAD_BYTES > len(data):
         raise ValueError("truncated frame")
-    n, check = HEAD.unpack_from(data, at)
+    n, check = struct.unpack_from(HEAD, data, at)
     if masked(data[at : at + 8]) != check:
         raise ValueError(f"wrong checksum of the length at {at}")
-    body = data[at + HEAD.size : at + HEAD.size + n]
-    end = at + HEAD.size + n + 4
+    body = data[at + HEAD_BYTES : at + HEAD_BYTES + n]
+    end = at + HEAD_BYTES + n + 4
     if end > len(data) or masked(body) != struct.unpack_from("<I", data, end - 4)[0]:
         raise ValueError(f"wrong checksum of the payload at {at}")
-    width, null, doc, count = BODY.unpack_from(body)
-    return None if null else doc, np.frombuffer(body, f"<u{width}", count, BODY.size), end
+    width, null, doc, count = struct.unpack_from(BODY, body)
+    return None if null else doc, np.frombuffer(body, f"<u{width}", count, BODY_BYTES), end
 
 
 def read_one(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
     """The record at an offset of the index: two small reads, whatever the shard's size."""
     place, path = opened(uri)
     with place.open_input_file(path) as f:
-        head = f.read_at(HEAD.size, offset)
-        return frame_at(head + f.read_at(HEAD.unpack(head)[0] + 4, offset + HEAD.size), 0)[:2]
+        head = f.read_at(HEAD_BYTES, offset)
+        return frame_at(head + f.read_at(struct.unpack(HEAD, head)[0] + 4, offset + HEAD_BYTES), 0)[:2]
 
 
 class Encoder:
