@@ -1,0 +1 @@
+"""Column functions: text, dates, numbers, rules."""

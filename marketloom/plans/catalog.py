@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import ingest, market, similarity  # noqa: F401
+from .registry import QUERIES, SQL
+
 FLAGSHIP = "demand_stats"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
