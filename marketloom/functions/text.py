@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Arabic letters, marks and digits that are folded.
 ARABIC_DIGITS, EXTENDED_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
@@ -31,7 +32,7 @@ def fold_marks(s: Column) -> Column:
     return F.trim(F.regexp_replace(fold_digits(letters), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode's compatibility composition, for which Spark has no function."""
     import unicodedata
@@ -56,7 +57,7 @@ def quote_verified(quote: Column, source: Column) -> Column:
     return (q != "") & F.contains(grounding_form(source), q)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def window_ratio(needles: pd.Series, texts: pd.Series) -> pd.Series:
     """Best difflib ratio of a needle and the windows of a text a little longer than it."""
     from difflib import SequenceMatcher
