@@ -21,7 +21,7 @@ def test_files_hold_what_the_tokenizer_gives(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = {3: "Hello  wörld\n\tΣΑΣ it's", 1: None, 2: "", 5: "x" * 3000 + " <|endoftext|>á b c 1234,5.", 4: "Hello  wörld\n\tΣΑΣ it's", None: "n"}
+    texts = {3: "Hello  wörld\n\tΣΑΣ it's", 1: None, 2: "", 5: "x" * 3000 + " \ue000 a\ue000b  <|endoftext|>á b c 1234,5.", 4: "Hello  wörld\n\tΣΑΣ it's", None: "n"}
     docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()] + [(3, texts[3], "again")], "doc_id long, text string, start string")
     folder = f"file://{tmp_path}/out"
     manifest = T.write_shards(docs, folder)
