@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -49,6 +52,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, which is compressed, where a checkpoint is not; it goes when the driver ends."""
+    spark = df.sparkSession
+    place = fresh_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(place)
+    atexit.register(drop_quietly, spark, place)
+    free(spark)
+    return spark.read.parquet(place)
+
+
+def drop_quietly(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        delete_dir(spark, place)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any longer."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that Catalyst's statistics give the plan: file sizes for a scan, an upper bound for most else."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import parts, stored, table
 
 #: Bytes of context. A gram is DEPTH + 1 bytes; the tree needs at least 2.
 DEPTH = 5
@@ -230,10 +230,10 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH, block_mb: in
         c = pa.chunked_array([pa.array(n, pa.int64()), pa.array([*words.values(), *(0 for _ in new)], pa.int64())])
         return pa.table({"block": block, "gram": g, "word": w, "n": c})
 
-    counted = cut(d.groupBy("block").applyInArrow(count, "block int, gram long, word binary, n long"))
+    counted = stored(d.groupBy("block").applyInArrow(count, "block int, gram long, word binary, n long"), "ctw-counts")
     by_gram, by_word = counted.filter("gram is not null"), counted.filter("word is not null")
-    grams = cut(by_gram.groupBy("gram").agg(F.sum("n").alias("n")))
-    words = cut(by_word.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")))
+    grams = stored(by_gram.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
+    words = stored(by_word.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")), "ctw-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     size, distinct = int(total.n), int(total.v)
     buckets = max(8, -(-grams.count() // BUCKET_GRAMS))
@@ -261,7 +261,7 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH, block_mb: in
         got = [log10_probabilities(g[i : i + step], tree, depth) for i in range(0, len(g), step)]
         return pa.table({"gram": g, "value": np.concatenate(got)})
 
-    solved = grams.select("bucket", "gram", "n").groupBy("bucket").applyInArrow(solve, "gram long, value double")
+    solved = stored(grams.select("bucket", "gram", "n").groupBy("bucket").applyInArrow(solve, "gram long, value double"), "ctw-solved")
     back = by_gram.select("block", "gram").join(solved, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
     # A word that no other block has needs no answer: its block's own count is the corpus's.
     common = words.filter("blocks > 1").select("word", F.col("n").cast("double").alias("value"))
