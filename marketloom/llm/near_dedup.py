@@ -3,9 +3,9 @@
 Documents with equal shingle sets are one node (copies are never paired). A node's signature has HASHES minima of
 universal hash functions; BANDS bands of them are its buckets. In a bucket every node is compared with the least
 one, and what these links join becomes a component. Only pairs that share a bucket and still lie in different
-components are compared beyond that, bucket by bucket on the signatures alone. So a bucket of thousands of near
-copies costs as many comparisons as it has members, and no pair that shares a bucket goes unchecked. A pair that
-passes the signature check is settled on the full sets.
+components are compared beyond that, inside their bucket's task. So near copies of one another cost as many
+comparisons as there are of them, no pair that shares a bucket goes unchecked, and what leaves a task is links
+alone. A pair that passes the signature check is settled on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ HASHES, BANDS = 128, 32
 MIN_EQUAL = 0.58
 #: Ids of documents in candidate pairs are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members of a bucket that one task compares with as many others, at most.
+CHUNK = 4_000
 SEED = 20240229
 
 
@@ -137,9 +139,7 @@ def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the similarity."""
     pairs = cut(pairs.distinct())
-    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
+    texts = involved(docs, cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, left = WordHashes(), None, np.zeros(0, np.uint64)
@@ -151,8 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if t != last:
                     last, left = t, shingles(t, known)
                 right = shingles(tb[i].as_py(), known)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both > 0 and SIMILARITY[1] * both >= SIMILARITY[0] * (len(left) + len(right) - both))
+                keep.append(reaches(left, right))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     with_b = pairs.join(texts.select(F.col("id").alias("r"), F.col("text").alias("tb")), F.col("b") == F.col("r")).select("a", "b", "tb")
@@ -160,30 +159,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(buckets: DataFrame, sigs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and have like signatures."""
-    named = buckets.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+def involved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents whose ids are wanted."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
+
+
+def across(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components among the pairs that share a bucket.
+
+    A bucket's pairs are settled where they are found: signatures first, then full sets, the likest pairs first,
+    and none whose ends earlier links of the bucket have joined. So only links leave a task, fewer than it has
+    members. A pair that shares several buckets belongs to the one of its first common band. Buckets of more than
+    CHUNK members are dealt to tasks by pairs of chunks.
+    """
+    named = buckets.join(comp, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    # Buckets with the same members would give the same pairs: one of them is enough.
-    open_ = named.join(mixed_keys, "key", "left_semi")
-    same = open_.groupBy("key").agg(F.bit_xor(F.xxhash64("rep")).alias("m1"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 24)).alias("m2"), F.count("*").alias("m3"))
-    one = same.groupBy("m1", "m2", "m3").agg(F.min("key").alias("key")).select("key")
-    full = open_.join(one, "key", "left_semi").join(sigs.select("rep", "sig"), "rep")
+    open_ = cut(named.join(mixed_keys, "key", "left_semi"))
+    # Of buckets with the same members the one of the first band has all their pairs.
+    same = open_.groupBy("key").agg(F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 24)).alias("m2"), F.count("*").alias("n"))
+    one = same.groupBy("m1", "m2", "n").agg(F.min(F.struct("band", "key")).alias("k"))
+    one = cut(one.select(F.col("k.key").alias("key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    part = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    dealt = open_.join(one, "key").withColumn("c", part).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", "band", "rep", "component", "c", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"))
+    texts = involved(docs, cut(open_.select(F.col("rep").alias("id")).distinct()))
+    facts = texts.join(nodes.select("rep", "sig", "bands"), F.col("id") == F.col("rep")).select("id", "sig", "bands", "text")
+    full = dealt.join(facts, F.col("rep") == F.col("id"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rep, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
+        c1, c2 = key[1].as_py(), key[2].as_py()
+        rep, comp, c = (t.column(k).to_numpy() for k in ("rep", "component", "c"))
+        band, texts = t.column("band")[0].as_py(), t.column("text")
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        out_a, out_b = [], []
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        names, sizes = np.unique(comp, return_counts=True)
+        large = comp == names[sizes.argmax()]
+        rows = np.flatnonzero(~large)  # two members of the largest component need no comparison
+        found = []
         step = max(1, 20_000_000 // (len(rep) * HASHES))
-        for i in range(0, len(rep), step):
-            x = sig[i : i + step]
-            equal = (x[:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16) >= MIN_EQUAL * HASHES
-            p, q = np.nonzero(equal & (comp[i : i + step, None] != comp[None, :]) & (rep[i : i + step, None] < rep[None, :]))
-            out_a.append(rep[i + p])
-            out_b.append(rep[q])
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return full.groupBy("key").applyInArrow(run, "a long, b long").distinct()
+        for i in range(0, len(rows), step):
+            x = rows[i : i + step]
+            equal = (sig[x][:, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
+            ok = (equal >= MIN_EQUAL * HASHES) & (comp[x][:, None] != comp[None, :]) & (large[None, :] | (rep[x][:, None] < rep[None, :]))
+            if c1 != c2:
+                ok &= c[x][:, None] != c[None, :]
+            p, q = np.nonzero(ok)
+            p, e = x[p], equal[p, q]
+            mine = (bands[p] == bands[q]).argmax(axis=1) == band
+            found.append(np.stack([e[mine], p[mine], q[mine]]).astype(np.int64))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        pairs = pairs[:, np.lexsort((rep[pairs[2]], rep[pairs[1]], -pairs[0]))]
+        root = {x: x for x in names.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        known, sets, out = WordHashes(), {}, []
+        for p, q in zip(pairs[1].tolist(), pairs[2].tolist(), strict=True):
+            u, v = top(int(comp[p])), top(int(comp[q]))
+            if u == v:
+                continue
+            for k in (p, q):
+                if k not in sets:
+                    sets[k] = shingles(texts[k].as_py(), known)
+            if reaches(sets[p], sets[q]):
+                root[max(u, v)] = min(u, v)
+                out.append((int(rep[p]), int(rep[q])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return full.groupBy("key", "c1", "c2").applyInArrow(run, "a long, b long").distinct()
+
+
+def reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets reach the similarity."""
+    small, large = sorted((len(x), len(y)))
+    if SIMILARITY[1] * small < SIMILARITY[0] * large or not small:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (small + large - both)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -197,14 +253,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = f.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes)
     sigs = nodes.select("rep", "sig")
-    buckets = nodes.select("rep", F.explode("bands").alias("key"))
+    buckets = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
     centers = cut(buckets.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center < other").select("key", "center"))
     buckets = cut(buckets.join(centers, "key"))
     star = buckets.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(confirmed(alike(star, sigs), docs))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = across(buckets.select("key", "rep"), sigs, comp).join(star, ["a", "b"], "left_anti")
-    more = cut(confirmed(rest, docs))
+    more = cut(across(buckets.select("key", "band", "rep"), nodes, cut(comp), docs))
     if not more.isEmpty():
         comp = components(links.unionAll(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Copies: equal sets with another least doc_id; documents whose node is theirs alone need no look-up.
