@@ -11,7 +11,9 @@ The manifest (one row per shard) names the files of the attempts that succeeded;
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,12 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SHARD_MB = 24
 #: Pieces that a worker remembers; a full memory is emptied, which costs time and nothing else.
-CACHE_PIECES, CACHE_CHARS = 200_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
+#: What the model's last piece of a word ends in.
+SUFFIX = "</w>"
+#: Letters whose lower case is the same alone and in a word, and which are composed, then marks.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
+GROUP_PIECES, GROUP_CHARS = 20_000, 4_000_000
 HEAD, BODY = "<QI", "<BBqI"
 HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 
@@ -80,7 +87,8 @@ def read_one(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
 
 class Encoder:
     """Texts to ids. The tokenizer drops white space and looks at nothing across it, so it is given the pieces between
-    spaces and line ends, each distinct piece once."""
+    spaces and line ends, each distinct piece once. Plain words and marks are single words of its model, which takes
+    many of them at once: the id that ends a word is told by its suffix."""
 
     def __init__(self, path: str | None, end_id: int):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -92,27 +100,96 @@ class Encoder:
 
             path = public_tokenizers.path(path or TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        self.width = 2 if max(len(vocab), max(vocab.values()) + 1, end_id + 1) <= 1 << 16 else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(SUFFIX)]] = True
+        # Letters beyond ASCII as the model's byte characters: those that can be printed, then the rest from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+        self.letters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        probe = ["hello", "wörld", "ÿéßñ", "antidisestablishmentarianism", "%%%", ".", "x"]
+        self.is_bare = self.words(probe) == list(self.encoded(probe).values())
         self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            new = [p for p in set(pieces) if p not in self.cache]
-            if len(self.cache) + len(new) > CACHE_PIECES:
-                self.cache = {}
-                new = list(set(pieces))
-            known = self.cache
-            if new:
-                ids = [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-                short = {p: i for p, i in zip(new, ids, strict=True) if len(p) <= CACHE_CHARS}
-                self.cache |= short
-                known = self.cache if len(short) == len(new) else self.cache | dict(zip(new, ids, strict=True))
-            out.append(np.frombuffer(b"".join([known[p] for p in pieces]) + self.end, f"<u{self.width}"))
+    @staticmethod
+    def shared(path: str | None, end_id: int) -> Encoder:
+        """The process's own encoder, so that a worker's later tasks find what earlier ones have remembered."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_marketloom_encoders", {})
+        if (path, end_id) not in kept:
+            kept[path, end_id] = Encoder(path, end_id)
+        return kept[path, end_id]
+
+    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces of any kind, from the whole tokenizer."""
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return {p: np.array(e.ids, f"<u{self.width}").tobytes() for p, e in zip(pieces, got, strict=True)}
+
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of plain words and marks, from the model alone."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), GROUP_PIECES):
+            group = pieces[k : k + GROUP_PIECES]
+            ids = np.array(self.bare.encode_batch_fast([[p.translate(self.letters) for p in group]], is_pretokenized=True, add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                known = self.encoded(group)
+                out += [known[p] for p in group]
+        return out
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; of letters and the marks after them, which the tokenizer takes apart, each by itself."""
+        plain, cores, marks, rest = [], [], [], []
+        for p in pieces:
+            if self.is_bare and (m := SIMPLE.fullmatch(p)):
+                plain.append(p)
+                cores.append(m[1].lower())
+                marks.append(m[2])
+            else:
+                rest.append(p)
+        tails = list(set(marks) - {""})
+        tail = dict(zip(tails, self.words(tails), strict=True)) | {"": b""}
+        out = dict(zip(plain, [c + tail[t] for c, t in zip(self.words(cores), marks, strict=True)], strict=True))
+        out.update(self.encoded(rest))
         return out
 
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        gc.disable()  # millions of small objects, none of them in a cycle
+        try:
+            pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+            every = set().union(*pieces)
+            if len(self.cache) > CACHE_PIECES:
+                self.cache.clear()
+            new = list(every - self.cache.keys())
+            self.cache.update(self.learn(new))
+            known = self.cache.__getitem__
+            out = [np.frombuffer(b"".join(map(known, own)) + self.end, f"<u{self.width}") for own in pieces]
+            for p in new:
+                if len(p) > CACHE_CHARS:
+                    del self.cache[p]
+            return out
+        finally:
+            gc.enable()
+
+
+def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about GROUP_CHARS characters together."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= GROUP_CHARS:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_mb: int = SHARD_MB) -> list[Any]:
     """Writes all documents and returns the manifest: rows of shard, path, index_path, docs, tokens in document order."""
@@ -130,17 +207,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             if not batch.num_rows:
                 continue
             if out is None:
-                enc = Encoder(tokenizer, end_id)
+                enc = Encoder.shared(tokenizer, end_id)
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{name}.rec")
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc_id in enumerate(ids):
-                got = enc.encode([texts[i].as_py()])[0]
-                data = frame(payload(doc_id, got, enc.width))
-                out.write(data)
-                offsets.append(at)
-                at += len(data)
-                tokens += len(got)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in groups(texts):
+                for doc_id, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+                    data = frame(payload(doc_id, got, enc.width))
+                    out.write(data)
+                    offsets.append(at)
+                    at += len(data)
+                    tokens += len(got)
         if out is not None:
             out.close()
             with place.open_output_stream(f"{name}.idx") as f:
