@@ -219,6 +219,40 @@ def test_passages(spark, docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_whose_first_holders_have_a_part(spark):
+    """Two documents share 60 words; earlier ones hold parts of under 50, so do texts within the same document."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for trial in range(80):
+        p, n, at = fresh(60), 41 + trial % 9, 10 * trial
+        if trial % 4 == 3:  # the part stands in the second holder itself, before the whole
+            parts, inside = [], fresh(5) + p[:n]
+        else:
+            parts, inside = [p[:n], p[60 - n :]][: 1 + trial % 2], []
+        rows += [(at + i, fresh(30) + x + fresh(30)) for i, x in enumerate(parts)]
+        rows += [(at + 5, inside + fresh(30) + p + fresh(20)), (at + 6, fresh(25) + p + fresh(40))]
+    runs = [{tuple(w[j : j + 50]): j for j in range(len(w) - 49)} for _, w in rows]
+    want = {}
+    for i, (doc, w) in enumerate(rows):
+        near = range(max(0, i - 4), i)
+        hit = {q for k in near for g, j in runs[i].items() if g in runs[k] for q in range(j, j + 50)}
+        want[doc] = (len(hit), [rows[k][0] for k in near if not runs[k].keys().isdisjoint(runs[i])])
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {x.doc_id: (x.n_repeat_words, x.refs) for x in passages.repeated_passages(d).collect()}
+    assert got == want and sum(n == 60 for n, _ in want.values()) == 80
+
+
+def test_stretches_cover_all_runs():
+    n = passages.MIN_WORDS
+    for _ in range(300):
+        pts = sorted({(x, x + R.choice([0, 7, -x])) for x in (R.randrange(300) for _ in range(R.randrange(1, 40)))})
+        x, y = (passages.np.array(v) for v in zip(*pts, strict=True))
+        got = passages.stretches(x, y)
+        assert {q for a, _, k in got for q in range(a, a + k)} == {q for a, _ in pts for q in range(a, a + n)}
+        assert all((a + j, b + j) in pts for a, b, k in got for j in range(k - n + 1))
+
+
 def test_chain_is_the_best(spark):
     for _ in range(30):
         n = R.randrange(1, 9)
