@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Every container element of a page is hashed with all below it. Spark counts, per host, on how many different
+Every container element of a page outside its articles (or its main element) is hashed with all below it. Spark counts, per host, on how many different
 pages (different main texts: copies of a page count once) each hash occurs; subtrees that recur on many pages of
 their host are templates and are deleted. What is left loses the elements that say themselves that they are not
 main text (navigation, footers, forms, adverts, comments, ...), and the rest's blocks are the text. Blocks of
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A subtree is a template if it occurs on so many different pages of its host, at least,
+#: A subtree is a template if it occurs on so many different pages of its host, however many the host has.
 MIN_PAGES = 3
-#: and on this share of them.
-MIN_SHARE = 0.02
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,8 +160,9 @@ class Page:
         """(element, hash) of the containers outside running text."""
         import xxhash
 
+        roots = [(p, q) for p, q in self.root() if q - p < len(self.events) or self.elements and self.elements[0][0] in ("article", "main")]
         for i, (tag, attrs, a, b) in enumerate(self.elements):
-            if tag in CONTAINERS and not any(e[0] == "o" and self.elements[e[1]][0] in ("article", "main") for e in self.events[a + 1 : b]):
+            if tag in CONTAINERS and not any(p <= a and b <= q for p, q in roots) and not any(e[0] == "o" and self.elements[e[1]][0] in ("article", "main") for e in self.events[a + 1 : b]):
                 yield i, xxhash.xxh64_intdigest(f"{tag}|{SPACES.sub(' ', attrs).strip()}|{self.plain(a, b)}".encode("utf-8", "surrogatepass")) - 2**63
 
     def main_text(self, templates: set[int]) -> str:
@@ -208,7 +207,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text of every page.
 
     Null or empty html: empty text. Null url: the host without a name. Repeated rows each get a row. Html without
@@ -226,7 +225,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             for k, host, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 page = Page(html)
                 body = xxhash.xxh64_intdigest(" ".join(page.plain(a, b) for a, b in page.root()).encode("utf-8", "surrogatepass")) - 2**63
-                own = {h for _, h in page.subtrees()} | {0}  # 0 counts the pages
+                own = {h for _, h in page.subtrees()}
                 subtrees += own
                 keys += [k] * len(own)
                 hosts += [host] * len(own)
@@ -237,9 +236,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     found = cut(p.select("page_key", "host", "html").mapInArrow(hashes, "page_key long, host string, body long, subtree long"))
     counts = found.select("host", "body", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    total = counts.filter("subtree = 0").select("host", F.col("n").alias("n_pages"))
-    templates = counts.filter((F.col("subtree") != 0) & (F.col("n") >= min_pages)).join(total, "host").filter(F.col("n") >= min_share * F.col("n_pages")).select("host", "subtree")
-    hit = found.filter("subtree != 0").select("page_key", "host", "subtree").join(templates, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"))
+    templates = counts.filter(F.col("n") >= min_pages).select("host", "subtree")
+    hit = found.select("page_key", "host", "subtree").join(templates, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

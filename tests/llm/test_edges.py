@@ -204,6 +204,16 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_by_place_and_count(spark):
+    """Near copies of an article keep its list and table; what few pages of a large host repeat outside it goes."""
+    ul, side = "<ul><li>first point</ul><table><tr><td>cell</table>", "<div><p>rare words</p></div>"
+    rows = [(i, f"http://n.example/{i}", f"<body>{side}<article><p>Copy {i} of a text</p>{ul}</article></body>") for i in range(3)]
+    rows += [(10 + i, "http://l.example/", f"<body>{side if i < 3 else ''}<p>Own text {i}</p></body>") for i in range(300)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"Copy {i} of a text\nfirst point\ncell" for i in range(3)]
+    assert all(got[10 + i] == f"Own text {i}" for i in range(300))
+
+
 def test_passages(spark, docs, none):
     p = words(60)
     fuzzy = list(p)
