@@ -73,6 +73,33 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory of its task back to the machine; workers live on after their tasks."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many _ before them as keep them apart from the columns of ``df``."""
+    taken, before = {c.lower() for c in df.columns}, ""
+    while any((before + n).lower() in taken for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that Catalyst's statistics give the plan: file sizes for a scan, an upper bound for most else."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -11,32 +11,42 @@ The manifest (one row per shard) names the files of the attempts that succeeded;
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, parts, table
-from .files import opened, read_bytes
+from .common import fresh_dir, parts, table, tidy
+from .files import opened
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_MB = 24
-#: Pieces that a worker remembers; a full memory is emptied, which costs time and nothing else.
-CACHE_PIECES, CACHE_CHARS = 800_000, 40
-#: What the model's last piece of a word ends in.
-SUFFIX = "</w>"
+SHARD_MB = 48
+#: Bytes, as Python counts them, that a task's memory of encoded words may take; a full memory is emptied, which costs time and nothing else.
+MEMORY_BYTES = 64 << 20
+#: What a word and its ids cost beside their own bytes: two objects and a slot.
+ENTRY_BYTES = 200
+#: Characters of texts that are encoded at a time, words that the model gets at a time, pieces whose ids are laid out at a time.
+GROUP_CHARS, GROUP_WORDS, GROUP_PIECES = 16_000_000, 20_000, 200_000
+#: Bytes of a record file that are read at a time, at least.
+READ_BYTES, READ_ROWS = 8 << 20, 20_000
 #: Letters whose lower case is the same alone and in a word, and which are composed, then marks.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|]*)")
-GROUP_PIECES, GROUP_CHARS = 20_000, 4_000_000
+# The definition under which letters are one word of the model and marks another, all else of the file being free.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 HEAD, BODY = "<QI", "<BBqI"
 HEAD_BYTES, BODY_BYTES = struct.calcsize(HEAD), struct.calcsize(BODY)
 
@@ -63,6 +73,30 @@ def frames(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield doc, ids
 
 
+def records(uri: str) -> Iterator[tuple[int | None, np.ndarray, int]]:
+    """(doc_id, ids, offset) of each record of a file, which is read in blocks: memory for a block and a record, whatever the file's size."""
+    place, path = opened(uri)
+    with place.open_input_stream(path) as f:
+        data, base, at = b"", 0, 0
+        while True:
+            need = HEAD_BYTES
+            if at + HEAD_BYTES <= len(data):
+                need = HEAD_BYTES + struct.unpack_from("<Q", data, at)[0] + 4
+                if masked(data[at : at + 8]) != struct.unpack_from(HEAD, data, at)[1]:
+                    raise ValueError(f"wrong checksum of the length at {base + at}")
+            if at + need > len(data):
+                more = f.read(max(READ_BYTES, at + need - len(data)))
+                if not more:
+                    if at < len(data):
+                        raise ValueError("truncated frame")
+                    return
+                data, base, at = data[at:] + more, base + at, 0
+                continue
+            doc, ids, end = frame_at(data, at)
+            yield doc, ids, base + at
+            at = end
+
+
 def frame_at(data: bytes, at: int) -> tuple[int | None, np.ndarray, int]:
     if at + HEAD_BYTES > len(data):
         raise ValueError("truncated frame")
@@ -85,10 +119,24 @@ def read_one(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
         return frame_at(head + f.read_at(struct.unpack(HEAD, head)[0] + 4, offset + HEAD_BYTES), 0)[:2]
 
 
+def is_plain(definition: dict) -> bool:
+    """Whether a tokenizer's definition takes a piece of SIMPLE apart into one word of letters and one of marks, whatever these are."""
+    pre = definition.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or [{}, {}]
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    added = [t["content"] for t in definition.get("added_tokens") or []]
+    return (
+        definition.get("normalizer") == NORMAL and len(steps) == 2 and steps[0] == split and {k: steps[1].get(k) for k in BYTES} == BYTES
+        and {k: definition["model"].get(k) for k in PLAIN_MODEL} == PLAIN_MODEL and bool(definition["model"].get("end_of_word_suffix"))
+        and not any(SIMPLE.search(t) and not re.search(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,;:!?%&*#$|]", t) for t in added)
+    )
+
+
 class Encoder:
-    """Texts to ids. The tokenizer drops white space and looks at nothing across it, so it is given the pieces between
-    spaces and line ends, each distinct piece once. Plain words and marks are single words of its model, which takes
-    many of them at once: the id that ends a word is told by its suffix."""
+    """Texts to ids. Nothing looks across the spaces and line ends that the tokenizer drops, so Arrow cuts texts there
+    and numbers the distinct pieces; each is encoded once a group. Where the tokenizer's own definition says that
+    letters are one word of its model, and marks another, these go to the model alone, many at a time: the id that
+    ends a word is told by its suffix. All else goes through the whole tokenizer. Words are remembered for the task."""
 
     def __init__(self, path: str | None, end_id: int):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -100,95 +148,102 @@ class Encoder:
 
             path = public_tokenizers.path(path or TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            definition = json.load(f)
         vocab = self.tokenizer.get_vocab()
         self.width = 2 if max(len(vocab), max(vocab.values()) + 1, end_id + 1) <= 1 << 16 else 4
-        self.end = np.array([end_id], f"<u{self.width}").tobytes()
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(SUFFIX)]] = True
-        # Letters beyond ASCII as the model's byte characters: those that can be printed, then the rest from 256 on.
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
-        self.letters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        probe = ["hello", "wörld", "ÿéßñ", "antidisestablishmentarianism", "%%%", ".", "x"]
-        self.is_bare = self.words(probe) == list(self.encoded(probe).values())
-        self.cache: dict[str, bytes] = {}
-
-    @staticmethod
-    def shared(path: str | None, end_id: int) -> Encoder:
-        """The process's own encoder, so that a worker's later tasks find what earlier ones have remembered."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_marketloom_encoders", {})
-        if (path, end_id) not in kept:
-            kept[path, end_id] = Encoder(path, end_id)
-        return kept[path, end_id]
-
-    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        self.kind = np.dtype(f"<u{self.width}")
+        self.end = np.array([end_id], self.kind)
+        self.plain = is_plain(definition)
+        if self.plain:
+            suffix = definition["model"]["end_of_word_suffix"]
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            # Letters beyond ASCII as the model's byte characters: those that can be printed, then the rest from 256 on.
+            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+            self.letters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.known: dict[str, bytes] = {"": b""}
+        self.used = 0
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces of any kind, from the whole tokenizer."""
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, f"<u{self.width}").tobytes() for p, e in zip(pieces, got, strict=True)}
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of plain words and marks, from the model alone."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters in lower case, or of marks, from the model alone."""
         out: list[bytes] = []
-        for k in range(0, len(pieces), GROUP_PIECES):
-            group = pieces[k : k + GROUP_PIECES]
-            ids = np.array(self.bare.encode_batch_fast([[p.translate(self.letters) for p in group]], is_pretokenized=True, add_special_tokens=False)[0].ids, f"<u{self.width}")
+        for k in range(0, len(words), GROUP_WORDS):
+            group = words[k : k + GROUP_WORDS]
+            given = [w if w.isascii() else w.translate(self.letters) for w in group]
+            ids = np.array(self.bare.encode_batch_fast([given], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             if len(ends) == len(group):
                 raw = ids.tobytes()
                 out += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
             else:
-                known = self.encoded(group)
-                out += [known[p] for p in group]
+                out += self.encoded(group)
         return out
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; of letters and the marks after them, which the tokenizer takes apart, each by itself."""
-        plain, cores, marks, rest = [], [], [], []
-        for p in pieces:
-            if self.is_bare and (m := SIMPLE.fullmatch(p)):
-                plain.append(p)
-                cores.append(m[1].lower())
-                marks.append(m[2])
-            else:
-                rest.append(p)
-        tails = list(set(marks) - {""})
-        tail = dict(zip(tails, self.words(tails), strict=True)) | {"": b""}
-        out = dict(zip(plain, [c + tail[t] for c, t in zip(self.words(cores), marks, strict=True)], strict=True))
-        out.update(self.encoded(rest))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        gc.disable()  # millions of small objects, none of them in a cycle
-        try:
-            pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-            every = set().union(*pieces)
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            new = list(every - self.cache.keys())
-            self.cache.update(self.learn(new))
-            known = self.cache.__getitem__
-            out = [np.frombuffer(b"".join(map(known, own)) + self.end, f"<u{self.width}") for own in pieces]
-            for p in new:
-                if len(p) > CACHE_CHARS:
-                    del self.cache[p]
-            return out
-        finally:
-            gc.enable()
-
-
-def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about GROUP_CHARS characters together."""
+        if self.used > MEMORY_BYTES:
+            self.known, self.used = {"": b""}, 0
+        known, match = self.known, SIMPLE.fullmatch
+        if not self.plain:
+            new = [p for p in pieces if p not in known]
+            self.remember(new, self.encoded(new))
+            return [known[p] for p in pieces]
+        parts = [(m[1].lower(), m[2]) if (m := match(p)) else (p, None) for p in pieces]
+        # A piece that isn't simple and a run of letters in lower case are never the same string.
+        new = list({w for c, t in parts if t is not None for w in (c, t) if w not in known})
+        self.remember(new, self.words(new))
+        rest = [c for c, t in parts if t is None and c not in known]
+        self.remember(rest, self.encoded(rest))
+        return [known[c] + known[t] if t else known[c] for c, t in parts]
+
+    def remember(self, words: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.used += sum(map(len, words)) + sum(map(len, ids)) + ENTRY_BYTES * len(words)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, the end id last."""
+        texts = texts.fill_null("")
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = pieces.flatten()
+        numbered = flat.dictionary_encode()
+        got = self.learn(numbered.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(got), self.kind)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        which, ends = numbered.indices.to_numpy(), pieces.value_lengths().to_numpy().cumsum()
+        at = doc = 0
+        while doc < len(texts):  # whole texts of about GROUP_PIECES pieces
+            last = max(doc + 1, int(np.searchsorted(ends, at + GROUP_PIECES, "right")))
+            w = which[at : ends[last - 1]]
+            n = sizes[w]
+            upto = np.cumsum(n)
+            own = ids[np.repeat(starts[w] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+            first = 0
+            for i in range(doc, last):
+                k = int(ends[i]) - at
+                stop = int(upto[k - 1]) if k else 0
+                yield np.concatenate([own[first:stop], self.end])
+                first = stop
+            doc, at = last, int(ends[last - 1])
+
+
+def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about GROUP_CHARS bytes together."""
     a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n
         if size >= GROUP_CHARS:
             yield a, i + 1
             a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_mb: int = SHARD_MB) -> list[Any]:
@@ -202,17 +257,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         shard, enc = TaskContext.get().partitionId(), None
         place, root = opened(folder)
         name = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
-        offsets, at, tokens, out = [], 0, 0, None
+        offsets, at, tokens, out = array("Q"), 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                enc = Encoder.shared(tokenizer, end_id)
+                enc = Encoder(tokenizer, end_id)
                 place.create_dir(root, recursive=True)
                 out = place.open_output_stream(f"{name}.rec")
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                for doc_id, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                for doc_id, got in zip(ids[a:b], enc.encode(texts.slice(a, b - a)), strict=True):
                     data = frame(payload(doc_id, got, enc.width))
                     out.write(data)
                     offsets.append(at)
@@ -221,13 +276,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if out is not None:
             out.close()
             with place.open_output_stream(f"{name}.idx") as f:
-                f.write(np.array(offsets, "<u8").tobytes())
+                f.write(np.frombuffer(offsets, "=u8").astype("<u8").tobytes())
             base = f"{folder}/{name.rpartition('/')[2]}"
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{base}.rec"], "index_path": [f"{base}.idx"], "docs": [len(offsets)], "tokens": [tokens]})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.repartitionByRange(parts(docs, shard_mb), "doc_id").sortWithinPartitions("doc_id", "text")
-    done = d.mapInArrow(write, "shard long, path string, index_path string, docs long, tokens long").collect()  # a row per shard
+    done = d.mapInArrow(tidy(write), "shard long, path string, index_path string, docs long, tokens long").collect()  # a row per shard
     return sorted(done, key=lambda r: r.shard)
 
 
@@ -242,17 +297,26 @@ def read_shards(spark: SparkSession, manifest: list[Any]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                data, at, start = read_bytes(r["path"]), 0, r["base"]
-                got: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")}
-                while at < len(data):
-                    doc, ids, end = frame_at(data, at)
-                    for k, v in zip(got, (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), r["shard"], at), strict=True):
+                start, got = r["base"], {k: array("q") for k in names[1:]}
+                docs: list[int | None] = []
+                for doc, ids, at in records(r["path"]):
+                    docs.append(doc)
+                    for k, v in zip(names[1:], (start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), r["shard"], at), strict=True):
                         got[k].append(v)
-                    start, at = start + len(ids), end
-                yield pa.RecordBatch.from_pydict(got, schema=pa.schema([(k, pa.int64()) for k in got]))
+                    start += len(ids)
+                    if len(docs) >= READ_ROWS:
+                        yield table_of(docs, got)
+                        docs, got = [], {k: array("q") for k in names[1:]}
+                if docs:
+                    yield table_of(docs, got)
+
+    names = ("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset")
+
+    def table_of(docs: list[int | None], got: dict[str, array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(np.frombuffer(got[k], np.int64)) for k in names[1:])], names)
 
     shards = spark.createDataFrame(rows, "shard long, path string, base long")
-    return shards.repartition(max(1, len(rows)), "shard").mapInArrow(read, out)
+    return shards.repartition(max(1, len(rows)), "shard").mapInArrow(tidy(read), out)
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
