@@ -1,6 +1,7 @@
 """MinHash near-dedup: banding, signature check, full-set check, components.
 
-Documents with equal shingle sets are one node (copies are never paired). A node's signature has HASHES minima of
+Documents with equal shingle sets are one node (copies are never paired), numbered by itself: rows that share a
+doc_id but not their text are different nodes. A node's signature has HASHES minima of
 universal hash functions; BANDS bands of them are its buckets. In a bucket every node is compared with the least
 one, and what these links join becomes a component. Only pairs that share a bucket and still lie in different
 components are compared beyond that, inside their bucket's task. So near copies of one another cost as many
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy, unused
 from .components import components
 
 WORDS, SIMILARITY = 5, (75, 100)
@@ -25,8 +26,8 @@ WORDS, SIMILARITY = 5, (75, 100)
 HASHES, BANDS = 128, 32
 #: Share of equal minima below which a pair isn't settled on full sets: 4.4 standard deviations below the threshold.
 MIN_EQUAL = 0.58
-#: Ids of documents in candidate pairs are broadcast up to this many (8 bytes each), else joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids and text keys of documents in candidate pairs are broadcast up to this many (32 bytes each), else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task compares with as many others, at most.
 CHUNK = 4_000
 SEED = 20240229
@@ -88,8 +89,13 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_key() -> list:
+    """128 bits that name a text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")]
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set), bands, sig (a byte of each minimum)."""
+    """doc_id, t1, t2 (hash of the text), n_shingles, s1, s2 (hash of the set), bands, sig (a byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,7 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
         known, (a, b) = WordHashes(), parameters()
         for batch in batches:
             n, s1, s2, bands, sig = [], [], [], [], []
-            texts = batch.column(1)
+            texts = batch.column(3)
             for i in range(batch.num_rows):
                 s = shingles(texts[i].as_py(), known)
                 n.append(len(s))
@@ -112,12 +118,12 @@ def features(docs: DataFrame) -> DataFrame:
                     bands.append(np.zeros(0, np.int64))
                     sig.append(b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "s1", "s2", "bands", "sig"],
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                ["doc_id", "t1", "t2", "n_shingles", "s1", "s2", "bands", "sig"],
             )
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
+    return d.mapInArrow(tidy(run), "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
 
 
 def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -130,16 +136,16 @@ def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array((x == y).mean(axis=1) >= MIN_EQUAL))
             yield batch.select([0, 1])
 
-    left = sigs.select(F.col("rep").alias("l"), F.col("sig").alias("sig_a"))
-    right = sigs.select(F.col("rep").alias("r"), F.col("sig").alias("sig_b"))
+    left = sigs.select(F.col("node").alias("l"), F.col("sig").alias("sig_a"))
+    right = sigs.select(F.col("node").alias("r"), F.col("sig").alias("sig_b"))
     both = pairs.join(right, F.col("b") == F.col("r")).join(left, F.col("a") == F.col("l"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the similarity."""
     pairs = cut(pairs.distinct())
-    texts = involved(docs, cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()))
+    texts = involved(docs, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, left = WordHashes(), None, np.zeros(0, np.uint64)
@@ -154,15 +160,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(reaches(left, right))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    with_b = pairs.join(texts.select(F.col("id").alias("r"), F.col("text").alias("tb")), F.col("b") == F.col("r")).select("a", "b", "tb")
-    full = with_b.join(texts.select(F.col("id").alias("l"), F.col("text").alias("ta")), F.col("a") == F.col("l"))
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    with_b = pairs.join(texts.select(F.col("node").alias("r"), F.col("text").alias("tb")), F.col("b") == F.col("r")).select("a", "b", "tb")
+    full = with_b.join(texts.select(F.col("node").alias("l"), F.col("text").alias("ta")), F.col("a") == F.col("l"))
+    return full.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def involved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents whose ids are wanted."""
+def involved(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes: of each the text of its least document."""
+    ids = cut(nodes.join(wanted, "node", "left_semi").select("node", "rep", F.col("t1").alias("x1"), F.col("t2").alias("x2")))
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few, "id", "left_semi")
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), *text_key(), "text")
+    found = d.join(few, (F.col("id") == F.col("rep")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")))
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def across(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
@@ -173,23 +182,24 @@ def across(buckets: DataFrame, nodes: DataFrame, comp: DataFrame, docs: DataFram
     members. A pair that shares several buckets belongs to the one of its first common band. Buckets of more than
     CHUNK members are dealt to tasks by pairs of chunks.
     """
-    named = buckets.join(comp, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    comp = comp.withColumnRenamed("node", "c_node")
+    named = buckets.join(comp, F.col("node") == F.col("c_node"), "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     open_ = cut(named.join(mixed_keys, "key", "left_semi"))
     # Of buckets with the same members the one of the first band has all their pairs.
-    same = open_.groupBy("key").agg(F.min("band").alias("band"), F.bit_xor(F.xxhash64("rep")).alias("m1"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 24)).alias("m2"), F.count("*").alias("n"))
+    same = open_.groupBy("key").agg(F.min("band").alias("band"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("m2"), F.count("*").alias("n"))
     one = same.groupBy("m1", "m2", "n").agg(F.min(F.struct("band", "key")).alias("k"))
     one = cut(one.select(F.col("k.key").alias("key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    part = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = open_.join(one, "key").withColumn("c", part).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "band", "rep", "component", "c", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"))
-    texts = involved(docs, cut(open_.select(F.col("rep").alias("id")).distinct()))
-    facts = texts.join(nodes.select("rep", "sig", "bands"), F.col("id") == F.col("rep")).select("id", "sig", "bands", "text")
-    full = dealt.join(facts, F.col("rep") == F.col("id"))
+    dealt = dealt.select("key", "band", "node", "component", "c", F.least("c", "d").alias("c1"), F.greatest("c", "d").alias("c2"))
+    texts = involved(docs, nodes, open_.select("node").distinct())
+    facts = texts.join(nodes.select("node", "sig", "bands"), "node").withColumnRenamed("node", "f_node")
+    full = dealt.join(facts, F.col("node") == F.col("f_node")).drop("f_node")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         c1, c2 = key[1].as_py(), key[2].as_py()
-        rep, comp, c = (t.column(k).to_numpy() for k in ("rep", "component", "c"))
+        rep, comp, c = (t.column(k).to_numpy() for k in ("node", "component", "c"))
         band, texts = t.column("band")[0].as_py(), t.column("text")
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         bands = np.array(t.column("bands").to_pylist(), np.int64)
@@ -242,39 +252,56 @@ def reaches(x: np.ndarray, y: np.ndarray) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (small + large - both)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
-
-    A text with fewer than five words, but any, has one shingle: all of them. Null or empty text: no shingles,
-    no links. Rows with the same doc_id are judged each by its own text. Null doc_id: no links, component null,
-    kept. Empty table: no rows. Extra columns are not returned.
-    """
+def labelled(docs: DataFrame) -> DataFrame:
+    """near_duplicates with t1, t2: the hash of the row's text."""
     f = cut(features(docs))
-    nodes = f.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = cut(nodes)
-    sigs = nodes.select("rep", "sig")
-    buckets = nodes.select("rep", F.posexplode("bands").alias("band", "key"))
-    centers = cut(buckets.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).filter("center < other").select("key", "center"))
+    own = f.filter("n_shingles > 0 and doc_id is not null")
+    nodes = own.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("x"), F.max("doc_id").alias("last"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # Numbered in a table that is written before it is read, so that a node keeps its number.
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "x.*", "last", "bands", "sig").withColumnRenamed("doc_id", "rep"))
+    sigs = nodes.select("node", "sig")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    centers = cut(buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center < other").select("key", "center"))
     buckets = cut(buckets.join(centers, "key"))
-    star = buckets.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirmed(alike(star, sigs), docs))
+    star = buckets.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(confirmed(alike(star, sigs), nodes, docs))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = cut(across(buckets.select("key", "band", "rep"), nodes, cut(comp), docs))
+    more = cut(across(buckets.select("key", "band", "node"), nodes, cut(comp), docs))
     if not more.isEmpty():
         comp = components(links.unionAll(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Copies: equal sets with another least doc_id; documents whose node is theirs alone need no look-up.
-    groups = cut(nodes.filter("rep < last").select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), "rep"))
-    named = f.select("doc_id", "n_shingles", "s1", "s2").join(groups, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")), "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    comp = cut(comp)
-    out = named.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # Nodes that are linked, by the least doc_id of their component, and copies; other documents need no look-up.
+    facts = nodes.select("node", "s1", "s2", "rep", "last")
+    linked = cut(comp.join(facts, "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    copied = facts.filter("rep < last").join(linked.select("node"), "node", "left_anti").select("s1", "s2", F.col("rep").alias("component_id"))
+    named = linked.join(least, "component").select("s1", "s2", "component_id").unionAll(copied)
+    named = cut(named.select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), "component_id"))
+    out = f.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(named, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")), "left")
+    out = out.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
+
+    A text with fewer than five words, but any, has one shingle: all of them. Null or empty text: no shingles,
+    no links. Rows with the same doc_id are judged each by its own text. Null doc_id: no links, component null,
+    kept. Equal texts (ties) are one node, whose least doc_id stands for it. Empty table: no rows. Extra columns,
+    whatever their names, are not looked at and not returned.
+    """
+    return labelled(docs).drop("t1", "t2")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least doc_id of each component."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """Pipeline stage: the document with the least doc_id of each component.
+
+    Rows go by their doc_id and text, so a row that shares a doc_id with a copy, but not its text, stays; repeated
+    rows of the kept document all stay. Null doc_id, null and empty texts stay. Empty table: no rows. Extra columns stay.
+    """
+    i, a, b = unused(docs, "gone_id", "gone_1", "gone_2")
+    gone = labelled(docs).filter("not kept").select(F.col("doc_id").alias(i), F.col("t1").alias(a), F.col("t2").alias(b)).distinct()
+    t1, t2 = text_key()
+    return docs.join(gone, (docs["doc_id"] == F.col(i)) & (t1 == F.col(a)) & (t2 == F.col(b)), "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
