@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, over_runs, table
+from .common import ascii_lower, cut, let, over_runs, table, unused
 
 SPAN = 13
 GRAM = 5
@@ -117,10 +117,15 @@ def is_contaminated() -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the benchmark doesn't contaminate."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter(is_contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    """Pipeline stage: documents that the benchmark doesn't contaminate.
+
+    Rows go by their doc_id and text; repeated rows go or stay together. Null and empty texts stay. Null doc_id: by
+    the text. Empty table or benchmark: nothing goes. Extra columns stay, whatever their names.
+    """
+    i, k = unused(docs, "bad_id", "bad_key")
+    bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter(is_contaminated()).select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (key == F.col("bad_key")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(i)) & (key == F.col(k)), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

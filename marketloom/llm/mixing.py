@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -92,28 +92,38 @@ def per_source(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= BROADCAST_SOURCES else few
 
 
+def measured(docs: DataFrame, names: list[str], weights: tuple[int, ...], max_epochs: int, share: float, seed: str) -> DataFrame:
+    """``docs`` with four more columns of these names: size, source_size, target, copies."""
+    size, source_size, target, copies = names
+    key, source, epochs, end = unused(docs, "mixing_key", "mixing_source", "mixing_epochs", "mixing_cut")
+    c = cuts(docs, weights, max_epochs, share, seed)
+    c = per_source(c.withColumnsRenamed({"source": source, "source_size": source_size, "target": target, "epochs": epochs, "cut_key": end}))
+    d = docs.withColumns({key: key_of(seed), size: size_of(F.col("text"))}).join(c, F.col("source").eqNullSafe(F.col(source)), "left")
+    again = F.coalesce(F.col(key) < F.col(end), F.lit(False)) & (F.col(epochs) < max_epochs)
+    return d.withColumn(copies, F.col(epochs) + F.when(again, 1).otherwise(0)).drop(key, source, epochs, end)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_copies: how often the mix takes each document.
 
     Whole documents are taken; the one over whose middle the budget's end falls decides which side it belongs to,
     so a source misses its target by half a document at most. Null text: size 0. Null source: a source of its
-    own, last. Rows with the same doc_id have the same key and stand or fall together. Empty table: no rows.
-    Extra columns stay as they are; only the names above are taken.
+    own, last. Rows with the same doc_id and text have the same key and stand or fall together. Empty table: no
+    rows. Extra columns stay as they are; only the four names above are taken, from columns that had them.
     """
-    c = cuts(docs, weights, max_epochs, share, seed)
-    c = per_source(c.withColumnsRenamed({"source": "mix_source", "source_size": "mix_source_size", "target": "mix_target", "epochs": "mix_epochs", "cut_key": "mix_cut"}))
-    keep = [f"`{x}`" for x in docs.columns if not x.startswith("mix_")]
-    d = docs.select(*keep).withColumns({"mix_key": key_of(seed), "mix_size": size_of(F.col("text"))})
-    d = d.join(c, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    copies = F.col("mix_epochs") + F.when(F.coalesce(F.col("mix_key") < F.col("mix_cut"), F.lit(False)) & (F.col("mix_epochs") < max_epochs), 1).otherwise(0)
-    return d.withColumn("mix_copies", copies).select(*keep, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    names = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    return measured(docs, names, weights, max_epochs, share, seed)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, with the columns of documents."""
-    taken = mix(docs).filter("mix_copies > 0")
-    again = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))
-    return taken.withColumn("mix_nth", again).select(*[f"`{c}`" for c in docs.columns])
+    """Pipeline stage: each document as often as the mix takes it, with the columns of documents.
+
+    Nulls, ties, repeated rows and empty tables as in ``mix``; extra columns stay, whatever their names.
+    """
+    names = unused(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_nth")
+    taken = measured(docs, names[:4], WEIGHTS, MAX_EPOCHS, 1.0, SEED).filter(F.col(names[3]) > 0)
+    return taken.withColumn(names[4], F.explode(F.array_repeat(F.lit(1), F.col(names[3]).cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

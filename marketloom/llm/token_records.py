@@ -31,7 +31,7 @@ from .files import opened
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_MB = 48
+SHARD_MB = 24
 #: Bytes, as Python counts them, that a task's memory of encoded words may take; a full memory is emptied, which costs time and nothing else.
 MEMORY_BYTES = 64 << 20
 #: What a word and its ids cost beside their own bytes: two objects and a slot.
@@ -330,7 +330,7 @@ def write_and_read(spark: SparkSession, docs: DataFrame, folder: str | None = No
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: a row per record, as read from the files."""
+    """Pipeline stage, the last: a row per record, as read from the files; nulls, ties, repeated rows, empty tables and extra columns as in ``write_and_read``."""
     return write_and_read(spark, docs).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
