@@ -13,14 +13,15 @@ MAX_ROUNDS = 60
 def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of its neighbours and itself."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+    # Cut, so that Spark can split the rows of a node with many neighbours in the join.
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; edges point from the larger to the smaller end."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"))
     near = down.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionAll(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
