@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy
+from .common import cut, free, stored, table, tidy
 from .near_dedup import WordHashes, mixed, shingles
 
 #: A subtree is a template if it occurs on so many different pages of its host, however many the host has.
@@ -30,6 +30,8 @@ HOST_PAGES = 30
 #: Share of the occurrences of a kind of element that must be templates to make it a template slot, and their least number.
 SLOT_SHARE, SLOT_COUNT = 0.25, 30
 PAIR = 2
+#: Slots, and hosts, are broadcast up to this many (some 100 bytes each), else joined by a shuffle.
+BROADCAST_SLOTS = 50_000
 #: Multipliers of the three minima that tell copies of a page's text.
 MINIMA = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -214,15 +216,17 @@ class Page:
                     at += 1
                 yield i, self.hashes[i] - 2**63, kind_of(tag, attrs), at < len(roots) and roots[at][0] <= a
 
-    def body(self, known: WordHashes) -> tuple[list[int], list[int]]:
+    def body(self, trees: list[tuple], known: WordHashes) -> tuple[list[int], list[int]]:
         """What tells pages of different main texts, three times; and what tells those that aren't near copies either: three minima of their word pairs."""
         import xxhash
 
-        text = " ".join(self.plain(a, b) for a, b in self.root())
+        text = " ".join(" ".join(e[1] for e in self.events[a:b] if e[0] == "t") for a, b in self.root())
+        own = [xxhash.xxh64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass")) - 2**63] * 3
+        if not any(inside for *_, inside in trees):
+            return own, own
         pairs = shingles(text, known, PAIR)
         with np.errstate(over="ignore"):
-            near = [int(mixed(pairs * np.uint64(k)).min()) - 2**63 if len(pairs) else 0 for k in MINIMA]
-        return [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63] * 3, near
+            return own, [int(mixed(pairs * np.uint64(k)).min()) - 2**63 if len(pairs) else 0 for k in MINIMA]
 
     def main_text(self, templates: set[int], slots: set[str], counted: bool) -> str:
         """Blocks of the main text, one a line, without templates, template slots and marked elements; counted: the host's counts decide."""
@@ -275,8 +279,9 @@ def occurrences(pages: DataFrame) -> DataFrame:
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for k, host, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 page = Page(html)
-                body = page.body(known)
-                for subtree, kind, inside in {(None, None, False), *(x[1:] for x in page.subtrees())}:
+                trees = list(page.subtrees())
+                body = page.body(trees, known)
+                for subtree, kind, inside in {(None, None, False), *(x[1:] for x in trees)}:
                     for column, v in zip(rows, (k, host, *body[inside], subtree, kind), strict=True):
                         column.append(v)
             types = (pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string())
@@ -295,7 +300,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, host_pages: int = HOST
     """
     key = F.xxhash64("page_id", "url", "html")
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"host": host_of(F.col("url")), "page_key": key})
-    found = cut(occurrences(p))
+    found = stored(occurrences(p), "page-subtrees")
     # Copies of one page are one row before anything is counted; a page's own row has no subtree.
     pages_of = found.groupBy("host", "subtree", "b1", "b2", "b3").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
     seen = pages_of.groupBy("host", "subtree").agg(F.least(*[F.count_distinct(b) for b in ("b1", "b2", "b3")]).alias("pages"), F.max("kind").alias("kind"), F.sum("n").alias("n"))
@@ -305,19 +310,24 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, host_pages: int = HOST
     is_template = (F.col("pages") >= min_pages).cast("long")
     slots = seen.filter("subtree is not null and kind <> ''").join(counted, F.col("host") == F.col("c_host"), "left_semi").groupBy("kind").agg(F.sum(F.col("n") * is_template).alias("t"), F.sum("n").alias("n"))
     slots = cut(slots.filter((F.col("t") >= SLOT_COUNT) & (F.col("t") >= SLOT_SHARE * F.col("n"))).select(F.col("kind").alias("slot")))
-    # Per page the hashes and kinds that go: a page has no more of them than elements.
-    own = found.filter("subtree is not null").select("page_key", "host", "subtree", "kind").distinct()
-    by_hash = own.join(templates, ["host", "subtree"]).select("page_key", "subtree", F.lit(None).cast("string").alias("slot"))
-    by_kind = own.join(slots, F.col("kind") == F.col("slot")).select("page_key", F.lit(None).cast("long").alias("subtree"), "slot").distinct()
-    hit = by_hash.unionAll(by_kind).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"), F.collect_set("slot").alias("slots"))
+    slots = F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
+    few = F.broadcast(cut(counted)) if counted.count() <= BROADCAST_SLOTS else cut(counted)
+    # Per page the hashes and kinds that go, and whether its host counts: a page has no more of them than elements.
+    own = found.filter("subtree is not null").select("page_key", "host", "subtree", "kind")
+    none = F.lit(None)
+    by_hash = own.join(cut(templates), ["host", "subtree"]).select("page_key", "subtree", none.cast("string").alias("slot"), none.cast("boolean").alias("counted"))
+    by_kind = own.join(slots, F.col("kind") == F.col("slot")).select("page_key", none.cast("long").alias("subtree"), "slot", none.cast("boolean").alias("counted"))
+    by_host = found.filter("subtree is null").join(few, F.col("host") == F.col("c_host")).select("page_key", none.cast("long").alias("subtree"), none.cast("string").alias("slot"), F.lit(True).alias("counted"))
+    hit = by_hash.unionAll(by_kind).unionAll(by_host).groupBy("page_key").agg(F.collect_set("subtree").alias("templates"), F.collect_set("slot").alias("slots"), F.max("counted").alias("counted"))
+    hit = cut(hit)
+    free(pages.sparkSession)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [Page(html).main_text(set(t or ()), set(k or ()), bool(c)) for html, t, k, c in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    judged = p.join(counted.withColumn("counted", F.lit(True)), F.col("host") == F.col("c_host"), "left")
-    out = judged.join(cut(hit), "page_key", "left").select("page_id", "url", "html", "templates", "slots", "counted")
+    out = p.join(hit, "page_key", "left").select("page_id", "url", "html", "templates", "slots", "counted")
     return out.mapInArrow(tidy(texts), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
 
 
