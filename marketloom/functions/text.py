@@ -118,7 +118,7 @@ def slug(s: Column) -> Column:
 
 def title_of(s: Column) -> Column:
     """The first line of 25 characters or more, else the first; 300 characters at most, as cards show."""
-    lines = F.filter(F.transform(F.split(s, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     long_ = F.filter(lines, lambda x: F.length(x) >= 25)
     return F.left(F.coalesce(F.get(long_, F.lit(0)), F.get(lines, F.lit(0))), F.lit(300))
 
@@ -130,9 +130,8 @@ def canonical_url(u: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("https://"), host, path))
 
 
-def chunks(s: Column, size: int = 1200) -> Column:
-    """Paragraphs packed in order into chunks of ``size`` characters at most; a longer paragraph is a chunk of its own."""
-    paragraphs = F.filter(F.transform(F.split(s, r"\n+"), F.trim), lambda x: x != "")
+def packed(paragraphs: Column, size: int) -> Column:
+    """Paragraphs in order, with a blank line between, in parts of ``size`` characters at most; a longer one is a part of its own."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(a: Column, p: Column) -> Column:
@@ -141,3 +140,8 @@ def chunks(s: Column, size: int = 1200) -> Column:
         return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, grown).otherwise(p).alias("open"))
 
     return F.aggregate(paragraphs, start, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+
+
+def chunks(s: Column, size: int = 1200) -> Column:
+    """The paragraphs of a text, packed."""
+    return packed(F.filter(F.transform(F.split(s, r"\n+"), lambda x: F.trim(x)), lambda x: x != ""), size)

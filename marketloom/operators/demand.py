@@ -9,9 +9,9 @@ LOW_CONFIDENCE_BELOW = 10
 MIN_TREND = 5
 
 
-def aggregable() -> Column:
+def aggregable(status: Column | None = None) -> Column:
     """Postings that count, for aggregation and retrieval alike."""
-    return (F.col("status") == "active") & F.col("duplicate_of").isNull() & (F.col("listing_intent") == "vacancy") & (F.col("poster_type") == "company")
+    return ((F.col("status") if status is None else status) == "active") & F.col("duplicate_of").isNull() & (F.col("listing_intent") == "vacancy") & (F.col("poster_type") == "company")
 
 
 def aggregable_course() -> Column:
@@ -67,6 +67,13 @@ def demand_stats(posts: DataFrame, skills: DataFrame, previous: DataFrame, mappi
     )
 
 
+def latest_window(history: DataFrame, end: str) -> DataFrame:
+    """The stored rows of the latest window that ended before ``end``."""
+    before = history.filter(F.col("window_end") < F.lit(end).cast("date"))
+    newest = before.agg(F.max("window_end").alias("newest"))
+    return before.join(F.broadcast(newest), F.col("window_end") == F.col("newest")).drop("newest")  # one row
+
+
 def cooccurring(skills: DataFrame, top: int = 5) -> DataFrame:
     """sector, skill_key, other_key, n, rank: the skills most often in a posting with a skill."""
     a = skills.select("posting_id", "sector", "skill_key").distinct()

@@ -11,11 +11,11 @@ from ..sources import domain as V
 from .market import ELIGIBLE
 from .registry import query
 
-#: Users are customers below 40; they hold what they ordered before 1996, and want postings of their sector in a month.
+#: A search: every hundredth user against all postings. They hold what they ordered before 1996, and want their sector's postings of a week.
 GAP_SQL = f"""{V.SKILLS_SQL}, {V.MAP_SQL},
 held AS (SELECT source_post AS user_id, s.skill_key AS held_key, m.esco_code AS held_code, max(posted_date) < DATE '1995-06-01' AS weak
-  FROM posting_skills s LEFT JOIN skill_map m ON m.skill_key = s.skill_key WHERE source_post < 40 AND posted_date < DATE '1996-01-01' GROUP BY ALL),
-users AS (SELECT DISTINCT source_post AS user_id, sector FROM postings WHERE source_post < 40),
+  FROM posting_skills s LEFT JOIN skill_map m ON m.skill_key = s.skill_key WHERE source_post % 100 = 0 AND posted_date < DATE '1996-01-01' GROUP BY ALL),
+users AS (SELECT DISTINCT source_post AS user_id, sector FROM postings WHERE source_post % 100 = 0),
 required AS (SELECT u.user_id, s.posting_id, s.sector, s.skill_key, m.esco_code FROM users u JOIN (SELECT * FROM posting_skills
     WHERE {ELIGIBLE} AND posted_date > DATE '1997-06-24' AND posted_date <= DATE '1997-07-01') s ON s.sector = u.sector LEFT JOIN skill_map m ON m.skill_key = s.skill_key),
 demand AS (SELECT s.sector, s.skill_key, m.esco_code, count(DISTINCT posting_id) AS frequency_count FROM posting_skills s LEFT JOIN skill_map m ON m.skill_key = s.skill_key
@@ -36,11 +36,11 @@ def judged(spark, sf_dir):
     posts = V.postings(spark, sf_dir)
     skills, m = V.posting_skills(spark, sf_dir, posts), V.skill_map(spark, sf_dir)
     early = F.max("posted_date") < F.lit("1995-06-01").cast("date")
-    held = skills.filter("source_post < 40 and posted_date < date'1996-01-01'").join(m, "skill_key", "left").groupBy(F.col("source_post").alias("user_id"), F.col("skill_key").alias("held_key"), F.col("esco_code").alias("held_code")).agg(early.alias("weak"))
-    users = posts.filter("source_post < 40").select(F.col("source_post").alias("user_id"), "sector").distinct()
+    held = skills.filter("source_post % 100 = 0 and posted_date < date'1996-01-01'").join(m, "skill_key", "left").groupBy(F.col("source_post").alias("user_id"), F.col("skill_key").alias("held_key"), F.col("esco_code").alias("held_code")).agg(early.alias("weak"))
+    users = posts.filter("source_post % 100 = 0").select(F.col("source_post").alias("user_id"), "sector").distinct()
     ok = D.aggregable() & F.col("sector").isNotNull() & F.col("country").isNotNull()
     now = skills.filter(ok & D.in_window(F.col("posted_date"), "1997-07-01", 7)).join(m, "skill_key", "left")
-    required = now.join(F.broadcast(users), "sector").select("user_id", "posting_id", "sector", "skill_key", "esco_code")
+    required = now.join(users, "sector").select("user_id", "posting_id", "sector", "skill_key", "esco_code")
     year = skills.filter(ok & D.in_window(F.col("posted_date"), "1997-07-01", 365)).join(m, "skill_key", "left")
     demand = year.groupBy("sector", "skill_key", "esco_code").agg(F.countDistinct("posting_id").alias("frequency_count"))
     return G.demand_lookup(G.verdicts(required, held), demand)

@@ -141,11 +141,11 @@ def handles(spark, sf_dir):
     return e.select("event_id", F.when(n > 0, F.try_element_at(listed, n)).alias("ref"))
 
 
-@query("vacancy_ordinals", """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: len(x) > 40) AS ls FROM documents WHERE doc_id < 300), u AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d)
+@query("vacancy_ordinals", """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: len(x) > 40) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d)
 SELECT doc_id, i AS ordinal, coalesce(nullif(trim(regexp_replace(lower(left(l, 30)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'job') || '-' || i AS id FROM u""")
 def ordinals(spark, sf_dir):
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) > 40)
-    d = V.table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", F.posexplode(lines).alias("i", "l"))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 40)
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "l"))
     return d.select("doc_id", F.col("i").cast("long").alias("ordinal"), F.concat_ws("-", F.coalesce(F.nullif(T.slug(F.left("l", F.lit(30))), F.lit("")), F.lit("job")), "i").alias("id"))
 
 
@@ -171,15 +171,16 @@ def ages(spark, sf_dir):
     return V.table(spark, sf_dir, "events").groupBy(R.age_label(d).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("similar_course", f"""WITH {V.COURSES_SQL}, c AS (SELECT * FROM courses WHERE status = 'active' AND duplicate_of IS NULL), x AS (SELECT a.course_id, b.course_id AS other FROM c a JOIN c b ON a.skill_key = b.skill_key AND a.course_id <> b.course_id AND b.course_id % 9 <> 0 WHERE a.course_id < 100)
+@query("similar_course", f"""WITH {V.COURSES_SQL}, c AS (SELECT * FROM courses WHERE status = 'active' AND duplicate_of IS NULL), x AS (SELECT a.course_id, b.course_id AS other FROM c a JOIN c b ON a.skill_key = b.skill_key AND a.course_id <> b.course_id AND b.course_id % 9 <> 0)
 SELECT course_id, min(other) AS other FROM x GROUP BY course_id""")
 def similar(spark, sf_dir):
     """The first other course of the same skill that isn't disliked."""
     c = V.courses(spark, sf_dir).filter("status = 'active' and duplicate_of is null")
-    low = c.filter("course_id % 9 <> 0").groupBy("skill_key").agg(F.sort_array(F.collect_list("course_id")).alias("ids"))
-    low = low.withColumn("two", F.slice("ids", 1, 2)).drop("ids")
+    first = Window.partitionBy("skill_key").orderBy("course_id")
+    low = c.filter("course_id % 9 <> 0").withColumn("nth", F.row_number().over(first)).filter("nth <= 2")  # a skill's first two, kept before the shuffle
+    low = low.groupBy("skill_key").agg(F.sort_array(F.collect_list("course_id")).alias("two"))
     pick = F.get(F.filter("two", lambda x: x != F.col("course_id")), F.lit(0))
-    return c.filter("course_id < 100").join(low, "skill_key").select("course_id", pick.alias("other")).filter("other is not null")
+    return c.join(low, "skill_key").select("course_id", pick.alias("other")).filter("other is not null")
 
 
 @query("coursework_candidates", """WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, event_type, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rank FROM events WHERE event_type IN ('purchase', 'view', 'click')),

@@ -17,11 +17,11 @@ def reset_at(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", at.alias("resets_at"), F.greatest(F.lit(0), F.unix_timestamp(at) - F.unix_timestamp("ts")).cast("long").alias("seconds_left"))
 
 
-@query("json_leaf_paths", """SELECT conv_id, turn, unnest(['a.role', 'a.parts[0]']) AS path, unnest([role, trim(left(text, 40))]) AS value FROM conversations WHERE turn = 0""")
+@query("json_leaf_paths", """SELECT conv_id, turn, unnest(['a.role', 'a.parts[0]']) AS path, unnest([role, trim(text)]) AS value FROM conversations""")
 def leaf_paths(spark, sf_dir):
     spark.udtf.register("ml_leaves", Leaves)
-    c = V.table(spark, sf_dir, "conversations").filter("turn = 0")
-    raw = F.to_json(F.struct(F.struct("role", F.array(F.trim(F.left("text", F.lit(40)))).alias("parts"), F.lit("x").alias("category")).alias("a")))
+    c = V.table(spark, sf_dir, "conversations")
+    raw = F.to_json(F.struct(F.struct("role", F.array(F.trim("text")).alias("parts"), F.lit("x").alias("category")).alias("a")))
     c.select("conv_id", "turn", raw.alias("raw")).createOrReplaceTempView("ml_json")
     return spark.sql("SELECT conv_id, turn, path, value FROM ml_json, LATERAL ml_leaves(raw)")
 
@@ -59,8 +59,7 @@ def signals(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", outcome.alias("outcome"), v.try_cast("bigint").alias("value"))
 
 
-@query("stats_json", """SELECT o_custkey, to_json(list({'id': o_orderkey, 'status': o_orderstatus} ORDER BY o_orderkey)) AS orders FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3) GROUP BY o_custkey""")
+@query("stats_json", """SELECT o_custkey, to_json(list({'id': o_orderkey, 'status': o_orderstatus} ORDER BY o_orderkey)) AS orders FROM orders GROUP BY o_custkey""")
 def stats_json(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = V.table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 3")
+    o = V.table(spark, sf_dir, "orders")
     return o.groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))))).alias("orders"))

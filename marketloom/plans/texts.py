@@ -42,15 +42,6 @@ def stated(spark, sf_dir):
 FORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s@.+\\-/]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("quote_verify", f"""WITH q AS (SELECT item_id, {FORM.format("array_to_string(string_split(text, ' ')[1:6], ' ')")} AS q FROM benchmark),
-d AS (SELECT doc_id, {FORM.format('text')} AS s FROM documents) SELECT item_id, doc_id FROM q JOIN d ON q.q <> '' AND contains(d.s, q.q)""")
-def quotes(spark, sf_dir):
-    """Opening words of benchmark items in documents. The quotes are a short list, so they are matched in one pass over the texts."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", T.grounding_form(F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.grounding_form(F.col("text")).alias("s"))
-    return d.join(F.broadcast(q), (F.col("q") != "") & F.contains("s", "q")).select("item_id", "doc_id")
-
-
 @query("grounding_fuzzy")
 def fuzzy(spark, sf_dir):
     """Each document's own first words with a letter changed, and another text's: the verdicts of their best windows."""
