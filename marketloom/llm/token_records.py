@@ -31,13 +31,13 @@ from .files import opened
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_MB = 24
+SHARD_MB = 12
 #: Bytes, as Python counts them, that a task's memory of encoded words may take; a full memory is emptied, which costs time and nothing else.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 48 << 20
 #: What a word and its ids cost beside their own bytes: two objects and a slot.
 ENTRY_BYTES = 200
 #: Characters of texts that are encoded at a time, words that the model gets at a time, pieces whose ids are laid out at a time.
-GROUP_CHARS, GROUP_WORDS, GROUP_PIECES = 16_000_000, 20_000, 200_000
+GROUP_CHARS, GROUP_WORDS, GROUP_PIECES = 4_000_000, 20_000, 200_000
 #: Bytes of a record file that are read at a time, at least.
 READ_BYTES, READ_ROWS = 8 << 20, 20_000
 #: Letters whose lower case is the same alone and in a word, and which are composed, then marks.
