@@ -81,6 +81,7 @@ def tidy(run: Callable) -> Callable:
 
         import pyarrow
 
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())  # the one whose memory can be given back
         try:
             yield from run(batches)
         finally:
@@ -92,6 +93,18 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """For what is run inside: Arrow batches of so many rows at most, so that long texts make no large buffers on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names with as many _ before them as keep them apart from the columns of ``df``."""
     taken, before = {c.lower() for c in df.columns}, ""

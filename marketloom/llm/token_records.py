@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, parts, table, tidy
+from .common import fresh_dir, parts, small_batches, table, tidy
 from .files import opened
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SHARD_MB = 12
 #: Bytes, as Python counts them, that a task's memory of encoded words may take; a full memory is emptied, which costs time and nothing else.
-MEMORY_BYTES = 48 << 20
+MEMORY_BYTES = 32 << 20
 #: What a word and its ids cost beside their own bytes: two objects and a slot.
 ENTRY_BYTES = 200
 #: Characters of texts that are encoded at a time, words that the model gets at a time, pieces whose ids are laid out at a time.
@@ -282,7 +282,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.repartitionByRange(parts(docs, shard_mb), "doc_id").sortWithinPartitions("doc_id", "text")
-    done = d.mapInArrow(tidy(write), "shard long, path string, index_path string, docs long, tokens long").collect()  # a row per shard
+    with small_batches(docs.sparkSession):
+        done = d.mapInArrow(tidy(write), "shard long, path string, index_path string, docs long, tokens long").collect()  # a row per shard
     return sorted(done, key=lambda r: r.shard)
 
 
