@@ -34,10 +34,16 @@ SEED = 20240229
 
 
 class WordHashes(dict):
+    """Hashes of words, remembered up to ``limit`` of them (some 180 bytes each); a full memory is emptied, which costs time and nothing else."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > self.limit:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -100,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, (a, b) = WordHashes(), parameters()
+        known, (a, b) = WordHashes(100_000), parameters()
         for batch in batches:
             n, s1, s2, bands, sig = [], [], [], [], []
             texts = batch.column(3)

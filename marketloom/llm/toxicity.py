@@ -181,7 +181,7 @@ class Grammar:
             for n in self.lengths:
                 if n <= len(word):
                     w = max(w, self.starts.get(word[:n], 0.0))
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = w
         return w
