@@ -31,9 +31,9 @@ from .files import opened
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SHARD_MB = 12
+SHARD_MB = 24
 #: Bytes, as Python counts them, that a task's memory of encoded words may take; a full memory is emptied, which costs time and nothing else.
-MEMORY_BYTES = 32 << 20
+MEMORY_BYTES = 48 << 20
 #: What a word and its ids cost beside their own bytes: two objects and a slot.
 ENTRY_BYTES = 200
 #: Characters of texts that are encoded at a time, words that the model gets at a time, pieces whose ids are laid out at a time.
