@@ -15,6 +15,8 @@ ARABIC_MARKS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 ARABIC_FROM, ARABIC_TO = "أإآٱىة", "اااايه"
 #: Words for a whole field, which cover a skill only as the same phrase.
 FIELD_WORDS = ("engineering", "management", "design", "marketing", "software", "data", "ring", "widget")
+#: A window this like its needle ends the search; below the other a needle is dropped, whatever its ratio.
+SURE, LEAST = 0.995, 0.75
 
 
 def skill_key(s: Column) -> Column:
@@ -59,28 +61,48 @@ def quote_verified(quote: Column, source: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def window_ratio(needles: pd.Series, texts: pd.Series) -> pd.Series:
-    """Best difflib ratio of a needle and the windows of a text a little longer than it."""
+    """Best difflib ratio of a needle and the windows of the whole text a little longer than it, or the first of SURE or more.
+
+    The letters that a window and the needle have in common, counted for all windows at once, bound its ratio, so
+    few windows are compared. Null, an empty text, a needle under 4 characters, or no window of LEAST: 0.
+    """
+    from collections import Counter
     from difflib import SequenceMatcher
 
+    import numpy as np
+
     def best(a: str | None, b: str | None) -> float:
         if not a or not b or len(a) < 4:
             return 0.0
-        size, step, top = len(a) + max(2, len(a) // 5), max(1, len(a) // 4), 0.0
+        size, step = len(a) + max(2, len(a) // 5), max(1, len(a) // 4)
+        starts = np.arange(0, max(1, len(b) - size + step), step)
+        ends = np.minimum(starts + size, len(b))
+        letters, common = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4"), np.zeros(len(starts), np.int64)
+        for c, n in Counter(a).items():
+            upto = np.concatenate([[0], np.cumsum(letters == ord(c))])
+            common += np.minimum(upto[ends] - upto[starts], n)
+        bound = 2.0 * common / (len(a) + ends - starts)
         m = SequenceMatcher(None, autojunk=False)
         m.set_seq2(a)
-        for i in range(0, max(1, len(b) - size + step), step):
-            m.set_seq1(b[i : i + size])
-            if m.quick_ratio() > top:
-                top = max(top, m.ratio())
-            if top >= 0.995:
+
+        def ratio(i: int) -> float:
+            m.set_seq1(b[starts[i] : ends[i]])
+            return m.ratio()
+
+        top = 0.0
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] <= top or bound[i] < LEAST:
                 break
-        return top
+            top = max(top, ratio(i))
+        if top < LEAST:
+            return 0.0
+        return next(r for i in np.flatnonzero(bound >= SURE) if (r := ratio(i)) >= SURE) if top >= SURE else top
 
-    return pd.Series([best(a, b) for a, b in zip(needles, texts, strict=True)])
+    return pd.Series([best(a, b) for a, b in zip(needles, texts, strict=True)], dtype=float)
 
 
 def grounding_verdict(exact: Column, ratio: Column, n_chars: Column) -> Column:
-    return F.when(exact, "grounded").when(n_chars < 4, "too_short").when(ratio >= 0.92, "grounded").when(ratio >= 0.75, "adjudicate").otherwise("dropped")
+    return F.when(exact, "grounded").when(n_chars < 4, "too_short").when(ratio >= 0.92, "grounded").when(ratio >= LEAST, "adjudicate").otherwise("dropped")
 
 
 def tokens(s: Column) -> Column:

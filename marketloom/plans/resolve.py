@@ -38,11 +38,14 @@ def link(spark, sf_dir):
     return X.by_link(b.join(d, "posting_id"), s)
 
 
-@query("title_row_match", """WITH o AS (SELECT lower(trim(regexp_replace(c_name || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '  x' END, '\\s+', ' ', 'g'))) AS t, count(*) AS n, min(c_custkey) AS id FROM (SELECT c_custkey, left(c_name, 17) AS c_name FROM customer) GROUP BY 1),
-n AS (SELECT c_custkey AS row, lower(trim(regexp_replace(left(c_name, 17), '\\s+', ' ', 'g'))) AS t FROM customer)
+@query("title_row_match", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' ' || c_nationkey ELSE c_name END AS t FROM customer),
+o AS (SELECT lower(trim(regexp_replace(t || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '  x' END, '\\s+', ' ', 'g'))) AS t, count(*) AS n, min(c_custkey) AS id FROM c GROUP BY 1),
+n AS (SELECT c_custkey AS row, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS t FROM c)
 SELECT n.row, CASE WHEN o.n = 1 THEN o.id END AS id, CASE WHEN o.n IS NULL THEN 'derived' WHEN o.n = 1 THEN 'title' ELSE 'ambiguous' END AS how FROM n LEFT JOIN o ON o.t = n.t""")
 def title_match(spark, sf_dir):
-    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.left("c_name", F.lit(17)).alias("t"))
+    """Whole names, and for every third customer a title that others share."""
+    shared = F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, shared).otherwise(F.col("c_name")).alias("t"))
     old = c.select(F.col("c_custkey").alias("id"), F.concat("t", F.when(F.col("c_custkey") % 5 == 0, "").otherwise("  x")).alias("title"))
     return X.match_rows(c.select(F.col("c_custkey").alias("row"), F.col("t").alias("title")), old)
 

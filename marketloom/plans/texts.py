@@ -44,11 +44,14 @@ FORM = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s@.+\
 
 @query("grounding_fuzzy")
 def fuzzy(spark, sf_dir):
-    """Each document's own first words with a letter changed, and another text's: the verdicts of their best windows."""
-    d = table(spark, sf_dir, "documents").filter("length(text) > 60").select("doc_id", F.left(T.grounding_form(F.col("text")), F.lit(400)).alias("s"))
-    d = d.withColumn("needle", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x"), F.substring("s", 2, 30))).otherwise(F.lit("what stands in no text at all")))
-    r = T.window_ratio("needle", "s")
-    return d.select("doc_id", r.alias("ratio"), T.grounding_verdict(F.contains("s", "needle"), r, F.length("needle")).alias("verdict"))
+    """Whole texts searched for a piece of their middle with its first letter changed, or for their end spliced to their beginning. Null as empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.grounding_form(F.col("text")), F.lit("")).alias("s"))
+    d = d.repartition("doc_id")  # the search costs far more than moving the texts, so no file is one task
+    middle = F.concat(F.lit("x"), F.substr("s", F.floor(F.length("s") / 2).cast("int") + 2, F.lit(30)))
+    splice = F.concat(F.right("s", F.lit(15)), F.left("s", F.lit(15)))
+    d = d.withColumn("needle", F.when(F.col("doc_id") % 2 == 0, middle).otherwise(splice))
+    r, exact = T.window_ratio("needle", "s"), (F.col("needle") != "") & F.contains("s", "needle")
+    return d.select("doc_id", r.alias("ratio"), T.grounding_verdict(exact, r, F.length("needle")).alias("verdict"))
 
 
 NUM = "list_sort(list_distinct(list_transform(regexp_extract_all({}, '\\d[\\d,]*(?:\\.\\d+)?'), lambda x: regexp_replace(regexp_replace(replace(x, ',', ''), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''))))"
@@ -65,9 +68,9 @@ def number_grounding(spark, sf_dir):
 
 
 @query("digit_fold", """SELECT item_id, translate(translate(v, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '۰۱۲۳۴۵۶۷۸۹', '0123456789') AS folded FROM (
-  SELECT item_id, translate(CAST(item_id * 1234567 AS VARCHAR), '0123456789', '٠١٢٣٤٥۶۷۸۹') AS v FROM benchmark)""")
+  SELECT item_id, translate(concat_ws(' ', text, item_id * 1234567), '0123456789', '٠١٢٣٤٥۶۷۸۹') AS v FROM benchmark)""")
 def digits(spark, sf_dir):
-    v = F.translate((F.col("item_id") * 1234567).cast("string"), T.DIGITS, "٠١٢٣٤٥۶۷۸۹")
+    v = F.translate(F.concat_ws(" ", "text", (F.col("item_id") * 1234567).cast("string")), T.DIGITS, "٠١٢٣٤٥۶۷۸۹")
     return table(spark, sf_dir, "benchmark").select("item_id", T.fold_digits(v).alias("folded"))
 
 
@@ -111,9 +114,9 @@ def html_links(spark, sf_dir):
 
 @query("jsonld_courses")
 def jsonld(spark, sf_dir):
-    """The objects of JSON-LD blocks, as the parser finds them in pages that carry one."""
+    """The objects of JSON-LD blocks, as the parser finds them in whole pages, each of which is given a block at its end: those of the tables carry none."""
     ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Course","name":"'), F.col("page_id").cast("string"), F.lit('","offers":[{"price":10},{"price":"299"}]}]}</script>'))
-    return P.json_ld(table(spark, sf_dir, "pages").select("page_id", ld.alias("html")), "Course").select("page_id", "name", "price")
+    return P.json_ld(table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), ld).alias("html")), "Course").select("page_id", "name", "price")
 
 
 @query("md_chunks", """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
