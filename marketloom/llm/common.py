@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: the cluster's ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder all machines share: the cluster's ``spark.checkpoint.dir``, else (tests) one of our own; a cluster must set it."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if place is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         place = "file://" + tempfile.mkdtemp(prefix="marketloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(place)
