@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import advice, ingest, market, records, resolve, similarity, small, streams, texts  # noqa: F401
+from . import advice, cycle, ingest, market, records, resolve, similarity, small, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "demand_stats"

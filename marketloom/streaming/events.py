@@ -31,6 +31,20 @@ def sliding(events: DataFrame, length: str = "2 days", step: str = "1 day", late
     return w.agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
+    """A user's events with less than ``gap`` between them; a session is given once, when the watermark has passed its end."""
+    w = events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap))
+    return w.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def fan_in(streams: list[DataFrame]) -> DataFrame:
+    """One stream of the sources' own, which each keep their place in the checkpoint."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 def health(events: DataFrame) -> DataFrame:
     """Running consecutive failures of each source, one update a micro-batch, as a fold over its attempts in order of time.
 
