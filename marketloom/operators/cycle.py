@@ -112,3 +112,24 @@ def collected_status(spark: SparkSession, reports: dict[str, Callable[[], DataFr
 def over_retention(windows: Column, keep: int) -> Column:
     """Pruning comes before the new snapshot, so one window more than is kept is as it should be."""
     return F.coalesce(windows, F.lit(0)) > keep + 1
+
+
+def checkpoints(nodes: DataFrame, run: str, low: float, high: float) -> DataFrame:
+    """Progress after each node (run, position, node, weight, skipped) within low to high; nodes that will not run take no part of it."""
+    w = Window.partitionBy(run)
+    upto, total = F.sum("weight").over(w.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)), F.sum("weight").over(w)
+    share = F.when(total > 0, upto / total).otherwise(F.lit(0.0))
+    return nodes.filter(~F.col("skipped")).select(run, "node", F.round(low + (high - low) * share, 4).alias("progress"))
+
+
+def suggested_role(matches: DataFrame, owner: str) -> DataFrame:
+    """Per owner the best of the matches (owner, match_id, title, score, why) that have a score and say why; the lower id of equals."""
+    ok = matches.filter(F.col("score").isNotNull() & (F.trim(F.coalesce("why", F.lit(""))) != ""))
+    best = F.max(F.struct("score", (-F.col("match_id")).alias("m"), "title", "why"))
+    return ok.groupBy(owner).agg(best.alias("b")).select(owner, F.col("b.title").alias("title"), F.col("b.score").alias("score"), F.col("b.why").alias("why"))
+
+
+def judged_method(method: Column, judged: Column, quote_found: Column, supplied: Column) -> Column:
+    """How a field ends: what people supplied and what is grounded stays; in between a judge must say so and quote what is there."""
+    sure = F.coalesce(judged, F.lit(False)) & F.coalesce(quote_found, F.lit(False))
+    return F.when(F.coalesce(supplied, F.lit(False)), "human").when(method == "grounded", "grounded").when((method == "adjudicate") & sure, "adjudicated").otherwise("dropped")

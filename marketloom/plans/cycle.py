@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cycle as C
+from ..operators import pages as P
 from ..sources import domain as V
 from .registry import query
 from .similarity import vectors
@@ -111,3 +112,51 @@ def status(spark, sf_dir):
 def retention(spark, sf_dir):
     w = V.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stats")).agg(F.countDistinct(F.trunc(F.to_date("o_orderdate"), "month")).alias("windows"))
     return w.withColumn("over", C.over_retention(F.col("windows"), 70))
+
+
+@query("run_checkpoints", """WITH n AS (SELECT l_orderkey AS run, l_linenumber, l_partkey AS node, CAST(l_quantity AS DOUBLE) AS w FROM lineitem WHERE NOT (l_linenumber = 2 AND l_orderkey % 2 = 0))
+SELECT run, node, CAST(round(CAST(CAST(0.1::DOUBLE + 0.5::DOUBLE * (sum(w) OVER (PARTITION BY run ORDER BY l_linenumber, node, w ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY run)) AS VARCHAR) AS DECIMAL(30, 17)), 4) AS DOUBLE) AS progress FROM n""")
+def checkpoints(spark, sf_dir):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    d = V.table(spark, sf_dir, "lineitem").select(k.alias("run"), F.struct(n, "l_partkey", F.col("l_quantity").cast("double")).alias("position"), F.col("l_partkey").alias("node"), F.col("l_quantity").cast("double").alias("weight"), ((n == 2) & (k % 2 == 0)).alias("skipped"))
+    return C.checkpoints(d, "run", 0.1, 0.6)
+
+
+@query("suggested_roles", """SELECT o_custkey, o_orderpriority AS title, CAST(o_totalprice AS DOUBLE) AS score, o_orderstatus AS why FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1""")
+def roles(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m = V.table(spark, sf_dir, "orders").select("o_custkey", k.alias("match_id"), F.col("o_orderpriority").alias("title"), F.when(k % 4 != 0, F.col("o_totalprice").cast("double")).alias("score"), F.when(k % 3 != 0, F.col("o_orderstatus")).otherwise(" ").alias("why"))
+    return C.suggested_role(m, "o_custkey")
+
+
+@query("judged_fields", """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS s, CASE doc_id % 3 WHEN 0 THEN 'grounded' WHEN 1 THEN 'adjudicate' ELSE 'dropped' END AS m FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'human' WHEN m = 'grounded' THEN 'grounded' WHEN m = 'adjudicate' AND doc_id % 2 = 0 AND contains(s, 'the ') THEN 'adjudicated' ELSE 'dropped' END AS method FROM d""")
+def judged_fields(spark, sf_dir):
+    k = F.col("doc_id")
+    method = F.when(k % 3 == 0, "grounded").when(k % 3 == 1, "adjudicate").otherwise("dropped")
+    found = F.contains(F.lower("text"), F.lit("the "))
+    return V.table(spark, sf_dir, "documents").select(k, C.judged_method(method, k % 2 == 0, found, k % 10 == 9).alias("method"))
+
+
+@query("offer_prices", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 = 0 THEN 0.0::DOUBLE END WHEN p_partkey % 4 = 1 THEN 0.0::DOUBLE ELSE CAST(p_size AS DOUBLE) * 1000 END AS amount, CASE WHEN p_partkey % 4 = 1 THEN 'OMR' WHEN p_partkey % 4 <> 0 THEN 'USD' END AS currency,
+CASE WHEN p_partkey % 8 = 0 THEN TRUE WHEN p_partkey % 4 = 1 THEN TRUE WHEN p_partkey % 4 <> 0 THEN p_size = 0 END AS is_free FROM part""")
+def offers(spark, sf_dir):
+    """Offers as the pages' JSON states them."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    paid = F.concat(F.lit('[{"price": "0", "priceCurrency": "OMR"}, {"price": " '), size, F.lit(',000", "priceCurrency": "USD"}, {"price": "'), size, F.lit('000.0", "priceCurrency": "EUR"}, {"price": "call"}]'))
+    raw = F.when(k % 8 == 0, '[{"category": "Partially Free"}, {"category": " Free"}]').when(k % 4 == 0, '[{"category": "Partially Free"}]').when(k % 4 == 1, '[{"price": 0, "priceCurrency": "OMR"}, {"category": "Free"}]').otherwise(paid)
+    p = V.table(spark, sf_dir, "part").select(k, P.offer_price(F.from_json(raw, "array<struct<price:string,priceCurrency:string,category:string>>")).alias("x"))
+    return p.select(k, "x.*")
+
+
+@query("sitemap_scope", r"""SELECT page_id, CASE WHEN regexp_matches(url, '/(en|de)/[0-9]+') THEN url END AS url FROM pages""")
+def sitemap(spark, sf_dir):
+    """Each page's address in a sitemap of its own, twice, beside one that is out of scope."""
+    own = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    xml = F.concat(F.lit("<urlset><url><loc> "), own, F.lit(" </loc></url><url><loc>http://x/about</loc></url><url><loc><![CDATA["), own, F.lit("]]></loc></url></urlset>"))
+    return V.table(spark, sf_dir, "pages").select("page_id", F.get(P.sitemap_urls(xml, "/(en|de)/[0-9]+"), F.lit(0)).alias("url"))
+
+
+@query("readable_pages")
+def readable(spark, sf_dir):
+    return P.readable(V.table(spark, sf_dir, "pages"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import cycle as C
+from marketloom.operators import pages as P
 from marketloom.streaming import events as S
 
 
@@ -82,3 +83,29 @@ def test_late_rows_are_dropped_and_closed_windows_written_once(spark, tmp_path):
     assert got == [(0, 2), (1, 1), (5, 1), (8, 1), (9, 1)]
     got = sorted((r.start.hour, r.start.minute, r.n) for r in S.drained(S.sessions(stream()), "append").collect())
     assert got == [(0, 10, 2), (1, 50, 1), (5, 0, 1), (8, 20, 1), (9, 0, 1)]
+
+
+def test_progress_skips_what_will_not_run(spark):
+    n = spark.createDataFrame([(1, 0, "a", 1.0, False), (1, 1, "b", 5.0, True), (1, 2, "c", 3.0, False), (2, 0, "a", 0.0, False)], "run int, position int, node string, weight double, skipped boolean")
+    assert sorted(tuple(r) for r in C.checkpoints(n, "run", 0.0, 0.4).collect()) == [(1, "a", 0.1), (1, "c", 0.4), (2, "a", 0.0)]
+
+
+def test_roles_and_judgements(spark):
+    m = spark.createDataFrame([(1, 1, "x", 0.9, " "), (1, 2, "y", 0.5, "w"), (1, 3, "z", 0.5, "w"), (1, 4, "v", None, "w"), (2, 5, "u", 0.9, None)], "u int, match_id int, title string, score double, why string")
+    assert [tuple(r) for r in C.suggested_role(m, "u").collect()] == [(1, "y", 0.5, "w")]
+    table = [("grounded", None, None, None, "grounded"), ("adjudicate", True, True, False, "adjudicated"), ("adjudicate", True, False, False, "dropped"), ("adjudicate", None, True, False, "dropped"), ("dropped", True, True, False, "dropped"), ("dropped", None, None, True, "human")]
+    d = spark.createDataFrame(table, "m string, j boolean, q boolean, s boolean, want string")
+    assert all(r.got == r.want for r in d.withColumn("got", C.judged_method(F.col("m"), F.col("j"), F.col("q"), F.col("s"))).collect())
+
+
+def test_pages(spark):
+    html = "<header>top</header><nav><a href='/x'>menu</a></nav><p>One</p><svg><text>pic</text></svg><footer>end</footer><p>Two &amp; three</p>" + "<script>no</script>"
+    d = spark.createDataFrame([(1, "http://a.b/c", html), (2, "http://a.b/d", None), (3, None, "x" * 30_000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in P.readable(d).collect()}
+    assert got[1] == "One\nTwo & three" and got[2] == "" and len(got[3]) == P.MAX_PAGE_CHARS
+    times = spark.createDataFrame([("2026-07-19T11:01:31+04:00",), ("2026-07-19T07:01:31",), ("2026-07-19T07:01:31Z",), ("yesterday",), ("",), (None,)], "t string")
+    got = [r.x for r in times.select(F.unix_timestamp(P.message_time(F.col("t"))).alias("x")).collect()]
+    assert got[0] == got[1] == got[2] and got[0] is not None and got[3:] == [None] * 3
+    links = F.array(F.lit("#top"), F.lit("mailto:a@b.c"), F.lit("http://B.com/x?utm_source=t"), F.lit("/rel"), F.lit("https://b.com/x"), F.lit("https://c.com/y"))
+    got = spark.range(1).select(P.outbound_links(links).alias("x")).first().x
+    assert len(got) == 2 and got[0].endswith("b.com/x") and got[1].endswith("c.com/y")
