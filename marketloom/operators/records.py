@@ -58,9 +58,14 @@ def line_numbers(blocks: DataFrame, page: str, order: list[str], share: float =
     return numbered.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("line", "left", "top", *order)))
 
 
+def stripped(text: Column) -> Column:
+    """The text without spaces of any kind (Unicode's space separators) at its ends; null: empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\p{Zs}+|\p{Zs}+\z", "")
+
+
 def structural_signals(text: Column, title: Column, company: Column, whatsapp: str, email: str, link: str, role: str, many: str) -> Column:
     """array<struct<code,weight,evidence>> in the order in which they are looked for; what is an absence quotes nothing."""
-    body = F.trim(F.coalesce(text, F.lit("")))
+    body = stripped(text)
     has_role = body.rlike(role)
     source = audit_source(title, text)
     said, crowd = F.nullif(F.regexp_extract(body, f"({whatsapp})", 1), F.lit("")), F.nullif(F.regexp_extract(source, f"({many})", 1), F.lit(""))
@@ -71,7 +76,7 @@ def structural_signals(text: Column, title: Column, company: Column, whatsapp: s
 
     found = F.array(
         signal("whatsapp_only_contact", said.isNotNull() & ~body.rlike(email) & ~body.rlike(link), said),
-        signal("no_employer_named", F.trim(F.coalesce(company, F.lit(""))) == "", none),
+        signal("no_employer_named", stripped(company) == "", none),
         signal("contact_only_no_role", ~has_role & (F.length(body) < ROLE_CHARS), none),
         signal("no_role_described", ~has_role & (F.length(body) >= ROLE_CHARS), none),
         signal("mass_vacancy_no_detail", ~has_role & crowd.isNotNull(), crowd),

@@ -39,6 +39,21 @@ def test_signals_quote_what_is_there(spark):
     assert not one(spark, X.auditable(bad, F.lit("text"))) and one(spark, X.auditable(bad, F.lit("is absent here")))
 
 
+def test_signals_equal_their_sql(spark, tmp_path):
+    """Letters beside a word that are not ASCII's, folds beyond ASCII, spaces of all kinds, empty and null values."""
+    import duckdb
+
+    from marketloom.plans import catalog
+
+    texts = ["él les", "éles " * 30, "lesé", "ilesé", "leſ", "leſx", "ANDñ", "x_and", "\u0661\u0662 ads", "é12 ads.", "12 adſ ", "\u00a0" * 130, "\u2003" + "x" * 119 + "\u00a0", "\t" + "x" * 118 + "\n", "x" * 119 + "\u00a0\n", "+123456 \u00e9@b https:/", "", None]
+    rows = [(3 * i + k, x, (" ", "\u00a0", "web", None)[i % 4]) for i, x in enumerate(texts) for k in (0, 1, 2)] + [(1000 + 4 * i, "x", c) for i, c in enumerate((" ", "\u00a0\u3000", "\t", "web", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["structural_signals"](spark, str(tmp_path)).select("doc_id", "auditable", "codes").collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(c.execute(catalog.SQL["structural_signals"]).fetchall()) and len(got) == len(rows)
+
+
 def test_small_rules(spark):
     assert [one(spark, X.quantised(F.lit(v))) for v in (0.25, 0.35, 0.36, 0.0)] == [-2.0, -3.0, -4.0, 0.0]
     assert one(spark, X.title_cased(F.lit("apis-and-the-web-of-html"))) == "APIs and the Web of HTML"
