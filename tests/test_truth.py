@@ -120,3 +120,20 @@ def test_near_pairs_in_time(spark):
     v = spark.range(10_000).select("id", (F.col("id") % 10).alias("group"), F.array(*d).cast("array<float>").alias("vector"))
     start = time.time()
     assert X.near_pairs(v, 0.15).count() > 0 and time.time() - start < 60
+
+
+def test_cover_candidates_choose_the_same(spark):
+    """The few courses that can be chosen give what all candidates give; many that teach the same leave one."""
+    import random
+
+    r = random.Random(5)
+    keys = [f"k{i}" for i in range(12)]
+    courses = spark.createDataFrame([(i, r.choice(keys), 4.0, i % 7, i % 5, float(i % 3)) for i in range(400) for _ in range(1 + i % 2)], "course_id long, skill_key string, rating double, review_count long, enrollment_count long, price double")
+    mapping = spark.createDataFrame([(k, None if i % 4 == 0 else f"c{i % 3}") for i, k in enumerate(keys)], "skill_key string, esco_code string")
+    codes = {x.skill_key: x.esco_code for x in mapping.collect()}
+    missing = spark.createDataFrame([(u, k, codes[k], float(r.randint(1, 5))) for u in range(30) for k in r.sample(keys, 7)], "user_id long, skill_key string, esco_code string, priority double")
+    quality = C.ranked(courses.dropDuplicates(["course_id"])).localCheckpoint()
+    for cap in (3, 20, 200):
+        few, every = C.cover_candidates(missing, courses, mapping, quality, cap), C.candidates(missing, courses, mapping, cap)
+        assert sorted(C.greedy_cover(few, quality).collect()) == sorted(C.greedy_cover(every, quality).collect()) and few.count() <= every.count()
+    assert few.count() * 10 < every.count()
