@@ -137,3 +137,19 @@ def test_cover_candidates_choose_the_same(spark):
         few, every = C.cover_candidates(missing, courses, mapping, quality, cap), C.candidates(missing, courses, mapping, cap)
         assert sorted(C.greedy_cover(few, quality).collect()) == sorted(C.greedy_cover(every, quality).collect()) and few.count() <= every.count()
     assert few.count() * 10 < every.count()
+
+
+def test_near_pair_queries_equal_their_sql(spark, tmp_path):
+    """Copies, null ids, null labels and null vectors."""
+    import duckdb
+
+    from marketloom.plans import catalog
+
+    rows = [(i, (0, 1, None)[i % 3], [((i * k) % 7 - 3) / 8 for k in range(1, 9)]) for i in range(60)] + [(None, 0, [0.5] * 8), (90, 1, [0.5] * 8), (91, 0, None), (92, None, [0.5] * 8)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("neardup_in_group", "neardup_cross_group"):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        want = c.execute(catalog.SQL[name]).fetchall()
+        assert len(got) == len(want) > 0 and set(got) == set(want)
