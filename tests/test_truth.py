@@ -153,3 +153,16 @@ def test_near_pair_queries_equal_their_sql(spark, tmp_path):
         got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
         want = c.execute(catalog.SQL[name]).fetchall()
         assert len(got) == len(want) > 0 and set(got) == set(want)
+
+
+def test_decisions_of_many_pairs(spark):
+    """Each vector's best match among copies and ties, against a plain loop; a vector without id matches nothing."""
+    rows = [(i, i % 3, [((i * k) % 7 - 3) / 4 for k in range(1, 9)]) for i in range(60)] + [(None, 0, [0.5] * 8), (90, 1, [0.5] * 8)]
+    want = {}
+    for i, g, x in rows:
+        own = [(h != g, -dot, j) for j, h, y in rows if i is not None and j is not None and j < i and (dot := round(sum(p * q for p, q in zip(x, y, strict=True)), 5)) >= 0.35]
+        if own:
+            other, dot, j = min(own)
+            want[i] = (j, -dot, "needs_review" if other else "duplicate")
+    v = spark.createDataFrame(rows, "id long, group int, vector array<float>")
+    assert {r.id: (r.match, r.similarity, r.decision) for r in X.merge_decision(X.near_pairs(v, 0.35)).collect()} == want
