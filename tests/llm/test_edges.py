@@ -361,6 +361,25 @@ def test_passages_whose_first_holders_have_a_part(spark):
     assert got == want and sum(n == 60 for n, _ in want.values()) == 80
 
 
+def test_passages_behind_many_part_holders(spark):
+    """Edited passages whose every seed has a part holder first and another just before: linked all the same, beside no others."""
+    import random
+
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for case in range(8):
+        p, base = words(100), 100 * case
+        parts = [words(60) + p[a : a + 34] + words(60) for _ in range(2) for a in (0, 33, 66)]
+        edited = [f"x{base}y{i}" if i % 15 == 7 else w for i, w in enumerate(p)]
+        texts = [*parts[:3], words(30) + p + words(30), *parts[3:], words(30) + edited + words(30)]
+        rows += [(base + i, " ".join(t)) for i, t in enumerate(texts)]
+        want.add((base + 7, base + 3))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(x.doc_id, ref) for x in got for ref in x.refs} == want
+    assert all(x.n_repeat_words >= 90 and x.class_id == x.doc_id - 4 for x in got if x.doc_id % 100 == 7)
+
+
 def test_passages_that_part_holders_surround(spark):
     """Edited passages between documents that hold a part of them: planted pairs, recall 0.9 at one word in ten changed, and no link beside them."""
     r = random.Random(23)
