@@ -11,19 +11,25 @@ and sends each distinct one with its count, not each occurrence. Counts are summ
 in buckets that hold all of a two-byte context, so only the nodes of depth 0 and 1 (at most 256 * 255 + 255) are
 brought together. A block then gets back one number for each of its distinct grams and words, and scores its
 texts. Nothing that grows with the corpus reaches the driver or is broadcast.
+
+What a task holds: texts pass by in small batches, so of a block there are only the distinct grams and words. A
+bucket's tree is built in pieces of at most PIECE grams (or the 256 of one longest context); a context with more is
+cut by the byte before it, and its own nodes are summed from those of its pieces.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, stored, table
+from .common import batch_bytes, give_back, parts, stored, table, tidy
 
 #: Bytes of context. A gram is DEPTH + 1 bytes; the tree needs at least 2.
 DEPTH = 5
@@ -31,10 +37,16 @@ DEPTH = 5
 BLOCK_MB = 12
 #: Distinct grams in a bucket of the tree, about.
 BUCKET_GRAMS = 100_000
+#: Grams whose part of the tree is in memory at once, about.
+PIECE = 20_000
 #: Before a text and after it; no byte of UTF-8.
 EDGE = 255
 #: Bytes that are turned into grams at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Bytes of an Arrow batch, on both sides; more only for one longer text.
+BATCH = 4 << 20
+#: Rows of a batch that a task sends.
+ROWS = 100_000
 END = b""
 
 
@@ -42,9 +54,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def folded(text: str | None) -> bytes:
+def folded(text: str | bytes | None) -> bytes:
     """UTF-8 with A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower()
 
 
 def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +72,7 @@ def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     use = np.ones(len(g), bool)
     for s in starts[1:-1]:
         use[s - depth : s] = False  # grams across two texts
-    return g[use].astype(np.int64), np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(first)]
+    return g[use].view(np.int64), np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(first)]
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -149,6 +161,91 @@ def levels(gram: np.ndarray, count: np.ndarray, depth: int, lowest: int) -> dict
     return out
 
 
+def by_context(gram: np.ndarray, depth: int) -> np.ndarray:
+    """Grams as numbers that sort by the context's last byte, the one before it and so on, then by the byte itself."""
+    out = gram & 255
+    for i in range(1, depth + 1):
+        out = out | ((gram >> 8 * i) & 255) << 8 * (depth + 1 - i)
+    return out
+
+
+def cuts(ordered: np.ndarray, depth: int, size: int, lowest: int = 2) -> list[tuple[int, int, int]]:
+    """Pieces (begin, end, level) of grams in the order of ``by_context``: whole contexts of ``level`` bytes, ``size`` grams about.
+
+    Contexts of ``lowest`` bytes with more grams than ``size`` are cut by the byte before them, and so on to ``depth``.
+    """
+    out: list[tuple[int, int, int]] = []
+
+    def split(a: int, b: int, d: int) -> None:
+        ctx = ordered[a:b] >> 8 * (depth + 1 - d)
+        begin = a
+        for s, e in pairwise([a, *(np.flatnonzero(ctx[1:] != ctx[:-1]) + (a + 1)).tolist(), b]):
+            large = e - s > size and d < depth
+            if begin < s and (large or e - begin > size):
+                out.append((begin, s, d))
+                begin = s
+            if large:
+                split(s, e, d + 1)
+                begin = e
+        if begin < b:
+            out.append((begin, b, d))
+
+    if len(ordered):
+        split(0, len(ordered), lowest)
+    return out
+
+
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def added(several: list[Sums]) -> Sums:
+    """Sorted keys, and the sums of n0, n1 and the children's weighted estimates."""
+    k, *values = (np.concatenate(x) for x in zip(*several, strict=True))
+    keys, at = np.unique(k, return_inverse=True)
+    n0, n1, kids = (np.bincount(at, x, len(keys)).astype(float) for x in values)
+    return keys, n0, n1, kids
+
+
+def raised(level: Level, d: int) -> Sums:
+    """What the nodes of depth ``d`` bring to those of depth d - 1."""
+    k = (level.keys >> 8 & ((1 << 8 * (d - 1)) - 1)) << 8 | (level.keys & 255)
+    return added([(k, level.n0, level.n1, level.pw)])
+
+
+def cut_levels(gram: np.ndarray, count: np.ndarray, at: list[tuple[int, int, int]], depth: int) -> tuple[dict[int, Level], Sums]:
+    """Nodes of the contexts that are cut, by depth, and what the whole bucket brings to depth 1."""
+    none = np.zeros(0)
+    up: dict[int, list[Sums]] = {d: [(none.astype(np.int64), none, none, none)] for d in range(1, depth)}
+    for a, b, d in at:
+        up[d - 1].append(raised(levels(gram[a:b], count[a:b], depth, d)[d], d))
+    large: dict[int, Level] = {}
+    for d in range(max((d for _, _, d in at), default=2) - 1, 1, -1):
+        large[d] = Top(*added(up[d]))
+        up[d - 1].append(raised(large[d], d))
+    return large, added(up[1])
+
+
+def bucket_sums(gram: np.ndarray, count: np.ndarray, depth: int, size: int = PIECE) -> Sums:
+    """What a bucket, all grams of some two-byte contexts, brings to depth 1."""
+    ordered = by_context(gram, depth)
+    order = np.argsort(ordered)
+    return cut_levels(gram[order], count[order], cuts(ordered[order], depth, size), depth)[1]
+
+
+def bucket_values(gram: np.ndarray, count: np.ndarray, top: dict[int, Level], depth: int, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's grams in another order, and the log10 probability of each."""
+    ordered = by_context(gram, depth)
+    order = np.argsort(ordered)
+    gram, count, at = gram[order], count[order], cuts(ordered[order], depth, size)
+    large = cut_levels(gram, count, at, depth)[0] if any(d > 2 for _, _, d in at) else {}
+    out = np.zeros(len(gram))
+    for a, b, d in at:
+        tree = top | {e: large[e] for e in range(2, d)} | levels(gram[a:b], count[a:b], depth, d)
+        for i in range(a, b, size):  # the grams of one longest context may be more
+            out[i : min(i + size, b)] = log10_probabilities(gram[i : min(i + size, b)], tree, depth)
+    return gram, out
+
+
 def log10_probabilities(gram: np.ndarray, tree: dict[int, Level], depth: int) -> np.ndarray:
     """log10 of the probability of each gram's last byte after the bytes before it."""
     nodes, bits = bit_path(gram & 255)
@@ -196,39 +293,57 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH, block_mb: in
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
+    with batch_bytes(docs.sparkSession, BATCH):
+        return stored(scored(docs, train, depth, block_mb), "ctw-scores")
+
+
+def scored(docs: DataFrame, train: Column, depth: int, block_mb: int) -> DataFrame:
     blocks = parts(docs, block_mb)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    d = d.withColumn("text", F.col("text").cast("binary"))
 
-    def read(t: pa.Table) -> tuple[list[bytes], list[bool]]:
-        return [folded(x) for x in t.column("text").to_pylist()], t.column("train").to_pylist()
-
-    def count(key: tuple, t: pa.Table) -> pa.Table:
-        texts, trains = read(t)
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         others: set[bytes] = set()
-        for x, y in zip(texts, trains, strict=True):
-            if y:
-                words.update(x.split())
-                words[END] += 1
-            else:
-                others.update(x.split())
-        keys, counts = [], []
-        for y in (True, False):
-            own = [x for x, z in zip(texts, trains, strict=True) if z == y]
-            for a, b in chunks(own):
-                u, c = np.unique(grams_of(own[a:b], depth)[0], return_counts=True)
-                keys.append(u)
-                counts.append(c if y else np.zeros(len(u), np.int64))
+        keys, counts, pending, settled = [], [], 0, 0
+        for batch in batches:
+            texts, trains = [folded(x) for x in batch.column("text").to_pylist()], batch.column("train").to_pylist()
+            for x, y in zip(texts, trains, strict=True):
+                if y:
+                    words.update(x.split())
+                    words[END] += 1
+                else:
+                    others.update(x.split())
+            for y in (True, False):
+                own = [x for x, z in zip(texts, trains, strict=True) if bool(z) == y]
+                for a, b in chunks(own):
+                    u, c = np.unique(grams_of(own[a:b], depth)[0], return_counts=True)
+                    keys.append(u)
+                    counts.append(c if y else np.zeros(len(u), np.int64))
+                    pending += len(u)
+            if pending > max(CHUNK, settled):
+                k, n = summed(keys, counts)
+                keys, counts, pending, settled = [k], [n], 0, len(k)
         grams, n = summed(keys, counts)
-        new = [END, *(w for w in others if w not in words)] if END not in words else [w for w in others if w not in words]
-        names = [*words, *new]
-        total = len(grams) + len(names)
-        block = pa.array(np.full(total, key[0].as_py(), np.int32))
-        g = pa.chunked_array([pa.array(grams), pa.nulls(len(names), pa.int64())])
-        w = pa.chunked_array([pa.nulls(len(grams), pa.binary()), pa.array(names, pa.binary())])
-        c = pa.chunked_array([pa.array(n, pa.int64()), pa.array([*words.values(), *(0 for _ in new)], pa.int64())])
-        return pa.table({"block": block, "gram": g, "word": w, "n": c})
+        del keys, counts
+        others.difference_update(words)
+        if END not in words:
+            others.add(END)
+
+        def rows(gram: pa.Array, word: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            block = pa.array(np.full(len(n), key[0].as_py(), np.int32))
+            return pa.record_batch({"block": block, "gram": gram, "word": word, "n": n})
+
+        for i in range(0, len(grams), ROWS):
+            g = pa.array(grams[i : i + ROWS])
+            yield rows(g, pa.nulls(len(g), pa.binary()), pa.array(n[i : i + ROWS], pa.int64()))
+        for some in (words.items(), ((w, 0) for w in others)):
+            for part in batched(some, ROWS):
+                w = pa.array([w for w, _ in part], pa.binary())
+                yield rows(pa.nulls(len(w), pa.int64()), w, pa.array([c for _, c in part], pa.int64()))
+        del words, others, grams, n
+        give_back()
 
     counted = stored(d.groupBy("block").applyInArrow(count, "block int, gram long, word binary, n long"), "ctw-counts")
     by_gram, by_word = counted.filter("gram is not null"), counted.filter("word is not null")
@@ -241,11 +356,9 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH, block_mb: in
     grams = grams.withColumn("bucket", F.pmod(F.xxhash64(pair), F.lit(buckets)))
 
     def deep(key: tuple, t: pa.Table) -> pa.Table:
-        low = levels(t.column("gram").to_numpy(), t.column("n").to_numpy(), depth, 2)[2]
-        k = (low.keys >> 8 & 255) << 8 | (low.keys & 255)
-        keys, at = np.unique(k, return_inverse=True)
-        sums = {k: np.bincount(at, x, len(keys)).astype(float) for k, x in (("n0", low.n0), ("n1", low.n1), ("kids", low.pw))}
-        return pa.table({"key": keys} | sums)
+        keys, n0, n1, kids = bucket_sums(t.column("gram").to_numpy(), t.column("n").to_numpy(), depth)
+        give_back()
+        return pa.table({"key": keys, "n0": n0, "n1": n1, "kids": kids})
 
     shallow = grams.select("bucket", "gram", "n").groupBy("bucket").applyInArrow(deep, "key long, n0 double, n1 double, kids double")
     # Sums in a fixed order, so that reruns agree to the last bit.
@@ -255,57 +368,111 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH, block_mb: in
     top = top_levels(np.array([[r.key, r.n0, r.n1, r.kids] for r in rows], float).reshape(-1, 4))
 
     def solve(key: tuple, t: pa.Table) -> pa.Table:
-        g = t.column("gram").to_numpy()
-        tree = top | levels(g, t.column("n").to_numpy(), depth, 2)
-        step = 100_000
-        got = [log10_probabilities(g[i : i + step], tree, depth) for i in range(0, len(g), step)]
-        return pa.table({"gram": g, "value": np.concatenate(got)})
+        gram, value = bucket_values(t.column("gram").to_numpy(), t.column("n").to_numpy(), top, depth)
+        give_back()
+        return pa.table({"gram": gram, "value": value})
 
     solved = stored(grams.select("bucket", "gram", "n").groupBy("bucket").applyInArrow(solve, "gram long, value double"), "ctw-solved")
-    back = by_gram.select("block", "gram").join(solved, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
+    # What a block's texts need comes before them: key is a gram or doc_id, bytes a word or text.
+    nothing, no_train = F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("boolean").alias("train")
+    back = by_gram.select("block", "gram").join(solved, "gram").select("block", F.lit(0).alias("kind"), F.col("gram").alias("key"), nothing, "value", no_train)
     # A word that no other block has needs no answer: its block's own count is the corpus's.
     common = words.filter("blocks > 1").select("word", F.col("n").cast("double").alias("value"))
-    back = back.unionAll(by_word.select("block", "word").join(common, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "value"))
+    back = back.unionAll(by_word.select("block", "word").join(common, "word").select("block", F.lit(1), F.lit(None).cast("long"), "word", "value", no_train))
+    back = back.unionAll(d.select("block", F.lit(2), "doc_id", "text", F.lit(None).cast("double"), "train"))
     floor = float(np.log10(size + distinct + 1))
 
-    def answer(key: tuple, t: pa.Table, known: pa.Table) -> pa.Table:
-        texts, trains = read(t)
-        is_gram = known.column("gram").is_valid()
-        mine = known.filter(is_gram)
-        g, v = mine.column("gram").to_numpy(), mine.column("value").to_numpy()
-        order = np.argsort(g)
-        lookup = Lookup(g[order], v[order])
-        own: Counter[bytes] = Counter()
-        for x, y in zip(texts, trains, strict=True):
-            if y:
-                own.update(x.split())
-                own[END] += 1
-        value: dict[bytes, float] = {w: float(np.log10(c + 1)) for w, c in own.items()}
-        theirs = known.filter(known.column("word").is_valid())
-        value.update(zip(theirs.column("word").to_pylist(), np.log10(theirs.column("value").to_numpy() + 1).tolist(), strict=True))
-        get = value.get
-        n_tokens, n_known, base, score = [], [], [], []
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            change = np.flatnonzero((b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in pairwise([0, *change.tolist(), len(b)]):
+                if texts is None or b[i] != block:
+                    if texts is not None:
+                        yield texts.rows(size)
+                    block, texts = b[i], Block(depth, floor)
+                texts.take(int(kind[i]), batch.slice(i, j - i))
+        if texts is not None:
+            yield texts.rows(size)
+
+    out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return back.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidy(answer), out)
+
+
+class Block:
+    """A block's answers, which come first, and what is known of its texts so far."""
+
+    def __init__(self, depth: int, floor: float):
+        self.depth, self.floor = depth, floor
+        self.grams: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.lookup: Lookup | None = None
+        self.value: dict[bytes, float] = {}
+        #: Words without an answer, which no other block has, and where they occur.
+        self.own: dict[bytes, int] = {}
+        self.own_at, self.own_word = array("q"), array("q")
+        self.ids: list[int | None] = []
+        self.trains: list[bool | None] = []
+        self.n_tokens, self.n_known, self.n_bytes = array("q"), array("q"), array("q")
+        self.base, self.score = array("d"), array("d")
+
+    def take(self, kind: int, batch: pa.RecordBatch) -> None:
+        if kind == 0:
+            self.grams.append(np.array(batch.column("key")))  # copies, which do not keep the batch
+            self.values.append(np.array(batch.column("value")))
+        elif kind == 1:
+            v = np.log10(np.array(batch.column("value")) + 1)
+            self.value.update(zip(batch.column("bytes").to_pylist(), v.tolist(), strict=True))
+        else:
+            self.texts(batch)
+
+    def texts(self, batch: pa.RecordBatch) -> None:
+        if self.lookup is None:
+            g = np.concatenate(self.grams)
+            order = np.argsort(g)
+            self.lookup = Lookup(g[order], np.concatenate(self.values)[order])
+            self.grams, self.values = [], []
+        texts = [folded(x) for x in batch.column("bytes").to_pylist()]
+        self.ids += batch.column("key").to_pylist()
+        self.trains += batch.column("train").to_pylist()
+        get, own = self.value.get, self.own
         for x in texts:
-            got = [get(w, 0.0) for w in x.split()]
-            got.append(get(END, 0.0))
-            n_tokens.append(len(got))
-            n_known.append(len(got) - got.count(0.0))
-            base.append(sum(got) - len(got) * floor)
+            words = x.split()
+            words.append(END)
+            got = [*map(get, words)]
+            if None in got:
+                for w, v in zip(words, got, strict=True):
+                    if v is None:
+                        self.own_word.append(own.setdefault(w, len(own)))
+                        self.own_at.append(len(self.base))
+                got = [v for v in got if v is not None]
+            self.n_tokens.append(len(words))
+            self.n_known.append(len(got) - got.count(0.0))
+            self.n_bytes.append(len(x) + 1)
+            self.base.append(sum(got) - len(words) * self.floor)
         for a, b in chunks(texts):
-            gr, starts = grams_of(texts[a:b], depth)
-            score += np.add.reduceat(lookup(gr), starts).tolist() if b > a else []
-        bits = [-s / np.log10(2) / (len(x) + 1) for s, x in zip(score, texts, strict=True)]
-        n = len(texts)
-        return pa.table(
+            gr, starts = grams_of(texts[a:b], self.depth)
+            self.score.extend(np.add.reduceat(self.lookup(gr), starts).tolist())
+
+    def rows(self, size: int) -> pa.RecordBatch:
+        n = len(self.base)
+        at, word = np.array(self.own_at, np.int64), np.array(self.own_word, np.int64)
+        learnt = np.array([bool(y) for y in self.trains], float)
+        c = np.bincount(word, learnt[at], len(self.own))
+        base = np.array(self.base, float) + np.bincount(at, np.log10(c + 1)[word], n)
+        known = np.array(self.n_known, np.int64) + np.bincount(at, (c > 0)[word].astype(float), n).astype(np.int64)
+        score = np.array(self.score, float)
+        return pa.record_batch(
             {
-                "doc_id": t.column("doc_id"), "train": t.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([size] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()), "bits_per_byte": pa.array(bits, pa.float64()),
+                "doc_id": pa.array(self.ids, pa.int64()), "train": pa.array(self.trains, pa.bool_()), "n_tokens": pa.array(np.array(self.n_tokens, np.int64)), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(n, size, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+                "bits_per_byte": pa.array(-score / np.log10(2) / np.array(self.n_bytes, np.int64)),
             }
         )
 
-    out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return d.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(answer, out)
-
 
 class Lookup:
     """Values of a block's grams by an open hash table of its own."""

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -89,3 +90,60 @@ def test_no_rows_and_no_training(spark):
     one = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = C.score_texts(one, F.lit(False)).first()
     assert abs(r.score - 24 * math.log10(0.5)) < 1e-9 and r.train_tokens == 0 and r.n_known == 0
+
+
+def hot_pair(n, depth=5):
+    """Grams of one two-byte context, with shares of one longer context and of grams that training hasn't seen."""
+    r = np.random.default_rng(7)
+    near = np.where(r.random(n) < 0.5, 97, r.integers(97, 123, n))
+    g = r.integers(97, 123, n) << 8 * depth
+    for i in range(depth - 1, 3, -1):
+        g |= r.integers(97, 123, n) << 8 * i
+    g = np.unique(g | near << 24 | 101 << 16 | 32 << 8 | r.integers(60, 90, n))
+    return g, r.integers(0, 4, len(g))
+
+
+def test_a_cut_context_weighs_as_the_whole_one():
+    g, n = hot_pair(3_000)
+    g, n = np.r_[g, g[:400] ^ (5 << 8)], np.r_[n, n[:400]]  # and some of another pair
+    low = C.levels(g, n, 5, 2)
+    k = (low[2].keys >> 8 & 255) << 8 | (low[2].keys & 255)
+    keys, at = np.unique(k, return_inverse=True)
+    want = [keys, *(np.bincount(at, x) for x in (low[2].n0, low[2].n1, low[2].pw))]
+    top = C.top_levels(np.stack(want, 1).astype(float))
+    p = dict(zip(g.tolist(), C.log10_probabilities(g, top | low, 5)))
+    for size in (1, 300, 2_000, 10**6):
+        at = C.cuts(np.sort(C.by_context(g, 5)), 5, size)
+        assert [a for a, _, _ in at] + [len(g)] == [0] + [b for _, b, _ in at]
+        assert max(d for _, _, d in at) == {1: 5, 300: 4, 2_000: 3, 10**6: 2}[size]
+        for got, x in zip(C.bucket_sums(g, n, 5, size), want):
+            assert np.allclose(got, x, rtol=1e-12, atol=1e-9)
+        gram, value = C.bucket_values(g, n, top, 5, size)
+        assert sorted(gram.tolist()) == sorted(g.tolist())
+        assert max(abs(p[x] - v) for x, v in zip(gram.tolist(), value.tolist())) < 1e-9
+
+
+def test_a_hot_pair_is_solved_in_little_memory():
+    g, n = hot_pair(150_000)
+    top = C.top_levels(np.stack(C.bucket_sums(g, n, 5), 1))
+    tracemalloc.start()
+    C.bucket_values(g, n, top, 5)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 45, peak
+
+
+def test_blocks_in_batches_of_one_row(spark, monkeypatch):
+    texts = ["one two two", "two three", None, "", "only here here", "four one", "zwei ünï", "only here here", "ONE four"] * 2
+    rows = [(None if i == 5 else i // 2, t, i % 3 != 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score, r.train)
+    want = sorted(C.score_texts(docs, F.col("t"), depth=3).collect(), key=key)
+    monkeypatch.setattr(C, "BATCH", 1)
+    monkeypatch.setattr(C, "ROWS", 2)
+    monkeypatch.setattr(C, "parts", lambda *_: 4)
+    got = sorted(C.score_texts(docs, F.col("t"), depth=3).collect(), key=key)
+    assert len(got) == len(rows)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and all(abs(x - y) < 1e-9 for x, y in zip(a[5:], b[5:]))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "1"
