@@ -35,6 +35,8 @@ from .common import batch_bytes, give_back, parts, stored, table, tidy
 DEPTH = 5
 #: MB of the input's files that make a block.
 BLOCK_MB = 12
+#: MB of stored counts whose answers make a partition, at least as many as the session's shuffle partitions.
+COUNTS_MB = 4
 #: Distinct grams in a bucket of the tree, about.
 BUCKET_GRAMS = 100_000
 #: Grams whose part of the tree is in memory at once, about.
@@ -399,7 +401,10 @@ def scored(docs: DataFrame, train: Column, depth: int, block_mb: int) -> DataFra
             yield texts.rows(size)
 
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return back.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tidy(answer), out)
+    # One block a partition: by a hash several would meet in one, and their rows are sorted together. Where the
+    # input's size isn't known there are far more blocks than that takes.
+    dealt = min(blocks, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(counted, COUNTS_MB)))
+    return back.repartitionById(dealt, "block").sortWithinPartitions("block", "kind").mapInArrow(tidy(answer), out)
 
 
 class Block:
