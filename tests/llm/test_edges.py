@@ -77,6 +77,37 @@ def test_near_dedup_against_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
 
 
+def tasks_of(spark, run):
+    """What run() returns, and the tasks of all its jobs."""
+    sc, group = spark.sparkContext, f"tasks-{R.random()}"
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    sc.setJobGroup(group, group)
+    try:
+        for n, v in zip(names, ("50", "false"), strict=True):
+            spark.conf.set(n, v)
+        got, jobs = run(), sc.statusTracker()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in jobs.getJobIdsForGroup(group) for s in jobs.getJobInfo(j).stageIds}
+        return got, sum(i.numCompletedTasks for i in map(jobs.getStageInfo, stages) if i)
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_tasks_follow_the_rows_not_the_shuffle_partitions(spark):
+    # The driver remembers every task: 4 rounds on 211 partitions were 17,000 tasks for a few thousand edges.
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19], "u long, v long")
+    got, tasks = tasks_of(spark, lambda: {r.node: r.component for r in components.components(edges).collect()})
+    assert got == {i: i // 20 * 20 for i in range(60)}
+    assert tasks < 1_500, tasks
+    near = [(k * 10 + j, " ".join([*(f"w{k}x{i}" for i in range(100)), *["end"] * (j > 0)])) for k in range(5) for j in range(3)]
+    got, tasks = tasks_of(spark, lambda: {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()})
+    assert got == {d: d // 10 * 10 for d, _ in near}
+    assert tasks < 2_000, tasks
+
+
 def test_components(spark):
     n = 60
     edges = [(i, i + 1) for i in range(n) if i % 20 != 19] + [(5, 5), (1, 0)]
