@@ -139,6 +139,18 @@ def test_cover_candidates_choose_the_same(spark):
     assert few.count() * 10 < every.count()
 
 
+def test_cover_chooses_among_all_courses_of_a_skill(spark):
+    """The best course of a concept and of a key without one has the last of over 200 ids, and is chosen."""
+    rows = [(i, k, 1.0 + 4.0 * (i == n), 1_000, 5, 9.0) for k, a, n in (("ml", 0, 260), ("rust", 1_000, 1_230)) for i in range(a, n + 1)]
+    courses = spark.createDataFrame(rows, "course_id long, skill_key string, rating double, review_count long, enrollment_count long, price double")
+    mapping = spark.createDataFrame([("ml", "c"), ("rust", None)], "skill_key string, esco_code string")
+    missing = spark.createDataFrame([(1, "ml", "c", 2.0), (1, "rust", None, 1.0)], "user_id long, skill_key string, esco_code string, priority double")
+    quality = C.ranked(courses)
+    for pairs in (C.cover_candidates(missing, courses, mapping, quality), C.candidates(missing, courses, mapping)):
+        got = sorted(C.greedy_cover(pairs, quality).collect(), key=lambda r: r.step)
+        assert [(r.course_id, r.primary_skill) for r in got] == [(260, "ml"), (1_230, "rust")]
+
+
 def test_near_pair_queries_equal_their_sql(spark, tmp_path):
     """Copies, null ids, null labels and null vectors."""
     import duckdb
