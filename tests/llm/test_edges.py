@@ -411,6 +411,32 @@ def test_passages_behind_many_part_holders(spark):
     assert all(x.n_repeat_words >= 90 and x.class_id == x.doc_id - 4 for x in got if x.doc_id % 100 == 7)
 
 
+def test_passages_beside_lines_that_many_share(spark, monkeypatch):
+    """Two lines that all documents share, of 14 and 32 words, cost no text a pair, the short one no pair; an edited passage around each is found."""
+    r = random.Random(29)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    short, long = fresh(14), fresh(32)
+    around = {k: (fresh(25), fresh(25)) for k in ("short", "long")}
+    edited = lambda w: [fresh(1)[0] if i % 9 == 4 else x for i, x in enumerate(w)]
+    rows = [(i, fresh(40) + (short if i % 2 else long) + fresh(40)) for i in range(80)]
+    for at, (k, line) in ((20, ("short", short)), (60, ("short", short)), (21, ("long", long)), (61, ("long", long))):
+        x, y = around[k]
+        rows[at] = at, fresh(40) + (x + line + y if at < 40 else edited(x) + line + edited(y)) + fresh(40)
+    dealt, pairs, settled, cut = [], [], passages.settled, passages.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["doc", "ref"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "settled", lambda d, f: dealt.append(f.count()) or settled(d, f))
+    monkeypatch.setattr(passages, "cut", counted)
+    found = {(x.doc, x.ref) for x in passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc long, text string").withColumnRenamed("doc", "doc_id")).collect()}
+    assert found == {(60, 20), (61, 21)} and dealt[1] <= 4
+    assert pairs[0] <= 40 * 39 / 2 + 4  # of the long line alone
+
+
 def test_passages_that_part_holders_surround(spark):
     """Edited passages between documents that hold a part of them: planted pairs, recall 0.9 at one word in ten changed, and no link beside them."""
     r = random.Random(23)
